@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leak, mix, spans, split
+from leafmill.llm import leak, mix, ocr, spans, split
 from leafmill.plans.registry import Registry
 from leafmill.session import table
 
@@ -15,6 +15,16 @@ LLM = Registry()
 SPLIT_FIELDS = [("chunks", "id", "text"), ("generate_requests", "request_id", "context_text")]
 
 
+@LLM.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repairs(table(spark, sf_dir, "chunks"))
+
+
+@LLM.query("p2_repaired")
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repaired(table(spark, sf_dir, "chunks")).select("id", "doc", "page", "text")
+
+
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = split.limits(table(spark, sf_dir, "split_limits"))
     out = None
