@@ -15,8 +15,11 @@ Blocks chosen by position instead of content would need every rolling window of
 shuffle, 8 bytes and more per character; by content it is about one row in a hundred characters.
 
 All lookups are aggregates (least and greatest record per hash) combined before the shuffle, followed by
-semi joins that adaptive execution splits where one hash is hot. Anchors only screen; what decides are two
-independent 64-bit hashes.
+semi joins that adaptive execution splits where one hash is hot. Stretches are compared by a 64-bit hash
+among those with the same 64-bit anchor hash, never across anchors.
+
+The texts with edges are read again. A bitmap of their ids, of FILTER_BITS bits whatever the data, keeps the
+other texts out of that shuffle.
 
 Cases: null, empty and shorter texts share nothing; rows with the same id are one record, and so are all
 rows with a null id, which get no row in the result; a record that repeats itself does not count; an
@@ -25,6 +28,7 @@ empty table yields an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import BASE_1, BASE_2, Rolling, code_points, mix, pieces, sliding_min
+from leafmill.llm.arrays import BASE_1, Rolling, code_points, mix, pieces, sliding_min
 from leafmill.session import materialise
 
 #: Code points processed at once in a task; positions in a piece take 20 bits.
 PIECE = 900_000
 
-_RUNS = "anchor long, rec string, at long, n int, lead int, h1 long, h2 long"
-_WINDOWS = "h1 long, h2 long, rec string, at long"
-_RUN_KEYS = ["h1", "h2", "n", "lead"]
+#: Bits of the bitmap of ids.
+FILTER_BITS = 1 << 25
+
+_RUN_KEYS, _WINDOW_KEYS = ["anchor", "h", "n", "lead"], ["anchor", "h", "lead"]
 
-#: Stand for the records without an id, and for "other records" in the lookup of windows.
-_NO_ID, _EXAMPLE = "\x00", "\x01"
+#: Stand for the records without an id, and for "other records" in the lookup of windows; by type of the id.
+_NO_ID, _EXAMPLE = {"bigint": -(2**63), "string": "\x00"}, {"bigint": -(2**63) + 1, "string": "\x01"}
 
 
 def _cut(text: str, width: int) -> list[tuple[int, str]]:
@@ -55,7 +60,7 @@ def _cut(text: str, width: int) -> list[tuple[int, str]]:
     return [(a, text[a : a + PIECE]) for a in range(0, len(text) - width + 1, step)]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[str], np.ndarray, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, np.ndarray, list[str]]]:
     """(ids, offsets, parts) of about PIECE code points."""
     for b in batches:
         ids, offs, parts = [], [], []
@@ -73,14 +78,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _run_rows(width: int):  # noqa: ANN202
+def _run_rows(width: int, kind: pa.DataType):  # noqa: ANN202
     block = (width + 1) // 2
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.uint64(20)
         for ids, offs, parts in _batches(batches, width):
             cps, at = code_points(parts)
-            one, two = Rolling(cps, BASE_1), Rolling(cps, BASE_2)
+            one = Rolling(cps, BASE_1)
             hashes = mix(one.windows(block), 7)
             ranked = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
             least = sliding_min(ranked, width - block + 1)
@@ -99,41 +104,48 @@ def _run_rows(width: int):  # noqa: ANN202
             yield pa.RecordBatch.from_arrays(
                 [
                     _signed(hashes[anchor]),
-                    pa.array(ids, pa.string()).take(pa.array(text)),
+                    pa.array(ids, kind).take(pa.array(text)),
                     pa.array(start - at[text] + offs[text]),
                     pa.array((last - first + 1).astype(np.int32)),
                     pa.array((anchor - start).astype(np.int32)),
                     _signed(one.of(start, stop)),
-                    _signed(two.of(start, stop)),
                 ],
-                ["anchor", "rec", "at", "n", "lead", "h1", "h2"],
+                ["anchor", "rec", "at", "n", "lead", "h"],
             )
 
     return rows
 
 
-def _window_rows(width: int):  # noqa: ANN202
+def _window_rows(width: int, kind: pa.DataType, example: object):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, ids, begin, count = [], [], [], []
+            parts, ids, begin, count, anchors, leads = [], [], [], [], [], []
             for i, t, runs in zip(b.column("rec").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 for r in runs:
-                    ids.append(_EXAMPLE if r["example"] else i)
+                    ids.append(example if r["example"] else i)
+                    anchors.append(r["anchor"])
+                    leads.append(r["lead"])
                     begin.append(r["at"])
                     count.append(r["n"])
                     parts.append(t[r["at"] : r["at"] + r["n"] - 1 + width])
-            begins, counts = np.array(begin, np.int64), np.array(count, np.int64)
+            begins, counts, keys, ahead = (np.array(x, np.int64) for x in (begin, count, anchors, leads))
             for lo, hi in pieces(np.array([len(p) for p in parts], np.int64), PIECE):
                 if hi <= lo:
                     continue
                 cps, at = code_points(parts[lo:hi])
-                one, two = Rolling(cps, BASE_1), Rolling(cps, BASE_2)
+                one = Rolling(cps, BASE_1)
                 which = np.repeat(np.arange(hi - lo), counts[lo:hi])
                 inside = np.arange(len(which)) - np.repeat(np.cumsum(counts[lo:hi]) - counts[lo:hi], counts[lo:hi])
                 s = at[which] + inside
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(one.of(s, s + width)), _signed(two.of(s, s + width)), pa.array(ids[lo:hi], pa.string()).take(pa.array(which)), pa.array(begins[lo:hi][which] + inside)],
-                    ["h1", "h2", "rec", "at"],
+                    [
+                        pa.array(keys[lo:hi][which]),
+                        _signed(one.of(s, s + width)),
+                        pa.array((ahead[lo:hi][which] - inside).astype(np.int32)),
+                        pa.array(ids[lo:hi], kind).take(pa.array(which)),
+                        pa.array(begins[lo:hi][which] + inside),
+                    ],
+                    ["anchor", "h", "lead", "rec", "at"],
                 )
 
     return rows
@@ -144,31 +156,64 @@ def _in_two_records(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select(*keys)
 
 
+def _slot(rec: list) -> np.ndarray:
+    """The bit of each record in the bitmap of ids."""
+    numbers = np.array(rec, np.int64) if not rec or isinstance(rec[0], int) else np.array([zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in rec], np.int64)
+    return (mix(numbers.view(np.uint64), 3) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _bitmap(asked: DataFrame):  # noqa: ANN202
+    """Broadcast of FILTER_BITS bits: set for each record of `asked`, and for some others."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _slot(b.column("rec").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    words = asked.select("rec").mapInArrow(slots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return asked.sparkSession.sparkContext.broadcast(out)
+
+
+def _only(bitmap):  # noqa: ANN001, ANN202
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _slot(b.column("rec").to_pylist())
+            yield b.filter(pa.array((bitmap.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return rows
+
+
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
     """(rec, start_char, end_char): the united stretches of each record that stand in other records; `rec` is
-    the id as a string."""
+    the id, as a string if it is no whole number."""
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
-    texts = documents.select(F.col(id_col).cast("string").alias("rec"), F.col(text_col).alias("text"))
-    texts = texts.select(F.coalesce("rec", F.lit(_NO_ID)).alias("rec"), "text").where(F.char_length("text") >= min_chars)
-    runs = texts.mapInArrow(_run_rows(min_chars), _RUNS)
+    name = documents.schema[id_col].dataType.simpleString()
+    name = "bigint" if name in ("tinyint", "smallint", "int", "bigint") else "string"
+    kind = pa.int64() if name == "bigint" else pa.string()
+    texts = documents.select(F.coalesce(F.col(id_col).cast(name), F.lit(_NO_ID[name])).alias("rec"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_chars)
+    runs = texts.mapInArrow(_run_rows(min_chars, kind), f"anchor long, rec {name}, at long, n int, lead int, h long")
     runs = materialise(runs.join(_in_two_records(runs.select("anchor", "rec"), ["anchor"]), "anchor", "left_semi"))
-    by_run = runs.groupBy(*_RUN_KEYS).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(F.struct("rec", "at", "anchor")).alias("one"))
+    by_run = runs.groupBy(*_RUN_KEYS).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(F.struct("rec", "at")).alias("one"))
     whole = by_run.where("lo <> hi")
     marked = runs.join(whole.select(*_RUN_KEYS, F.lit(True).alias("whole")), _RUN_KEYS, "left")
-    runs = materialise(marked.select("anchor", "rec", "at", "n", F.coalesce("whole", F.lit(False)).alias("whole")))
+    runs = materialise(marked.select("anchor", "rec", "at", "n", "lead", F.coalesce("whole", F.lit(False)).alias("whole")))
     edges = runs.where("NOT whole")
-    examples = whole.select("one.*", "n").join(edges.select("anchor").distinct(), "anchor", "left_semi")
-    asked = edges.withColumn("example", F.lit(False)).unionByName(examples.withColumn("example", F.lit(True)), allowMissingColumns=True)
-    edges = asked.groupBy("rec").agg(F.collect_list(F.struct("at", "n", "example")).alias("runs"))
-    windows = materialise(texts.join(edges, "rec").mapInArrow(_window_rows(min_chars), _WINDOWS))
-    windows = windows.join(_in_two_records(windows, ["h1", "h2"]), ["h1", "h2"], "left_semi")
+    examples = whole.select("anchor", "one.*", "n", "lead").join(edges.select("anchor").distinct(), "anchor", "left_semi")
+    asked = edges.drop("whole").withColumn("example", F.lit(False)).unionByName(examples.withColumn("example", F.lit(True)))
+    asked = materialise(asked.groupBy("rec").agg(F.collect_list(F.struct("at", "n", "anchor", "lead", "example")).alias("runs")))
+    again = texts.mapInArrow(_only(_bitmap(asked)), f"rec {name}, text string").join(asked, "rec")
+    windows = materialise(again.mapInArrow(_window_rows(min_chars, kind, _EXAMPLE[name]), f"anchor long, h long, lead int, rec {name}, at long"))
+    windows = windows.join(_in_two_records(windows, _WINDOW_KEYS), _WINDOW_KEYS, "left_semi")
     covered = runs.where("whole").select("rec", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + min_chars).alias("e")).unionByName(
         windows.select("rec", F.col("at").alias("s"), (F.col("at") + min_chars).alias("e"))
     )
     in_order = W.partitionBy("rec").orderBy("s", "e")
     reach = F.max("e").over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    marked = covered.where(~F.col("rec").isin(_NO_ID, _EXAMPLE)).withColumn("new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
+    marked = covered.where(~F.col("rec").isin(_NO_ID[name], _EXAMPLE[name])).withColumn("new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
     numbered = marked.withColumn("span", F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy("rec", "span").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char")).drop("span")
 
