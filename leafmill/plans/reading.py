@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import insights, retrieval
+from leafmill.operators import insights, retrieval, structure
 from leafmill.operators.running import running
 from leafmill.plans.registry import Registry
-from leafmill.session import table
+from leafmill.session import materialise, table
 
 READING = Registry()
 
@@ -213,3 +213,42 @@ def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.cross_references(table(spark, sf_dir, "chunks"), "id", "text")
+
+
+@READING.query("page_blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.page_blocks(table(spark, sf_dir, "chunks"), ["id", "doc", "page"])
+
+
+@READING.query("outline")
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.outline(structure.page_blocks(table(spark, sf_dir, "chunks"), ["doc", "page"]))
+
+
+@READING.query("section_at")
+def section_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "chunks")
+    heads = materialise(structure.outline(structure.page_blocks(pages, ["doc", "page"])))
+    return structure.sections(pages, heads)
+
+
+_UNIFIED_SQL = (
+    _BM25_SQL
+    + f""", noted AS (SELECT id, t, len(t) AS len FROM (SELECT id, {sql_tokens("concat_ws(' ', selection, answer, comment, session)")} AS t FROM (SELECT DISTINCT * FROM notes))),
+    npost AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(t) AS term FROM noted) GROUP BY ALL),
+    nscored AS (SELECT query, id, sum(tf / (1 + sqrt(len))) AS score FROM asked JOIN npost USING (term) GROUP BY ALL)
+    SELECT 'page' AS kind, query, doc_id::VARCHAR AS hit, round_even(score, 3) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 8
+    UNION ALL SELECT 'note', query, id, round_even(score, 3), row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM nscored QUALIFY rank <= 8"""
+)
+
+
+@READING.query("unified_search", _UNIFIED_SQL)
+def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents and eight notes for each stated query, told apart by kind."""
+    items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    asked = retrieval.query_terms(items, "item_id", "text")
+    found = retrieval.best(_searched(spark, sf_dir), 8)
+    notes = table(spark, sf_dir, "notes").dropDuplicates(["id"])
+    noted = retrieval.best(retrieval.note_scores(notes, "id", F.concat_ws(" ", "selection", "answer", "comment", "session"), asked), 8)
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "query", F.col("page").cast("string").alias("hit"), F.bround("score", 3).alias("score"), "rank")
+    return one(found, "page").unionByName(one(noted, "note"))

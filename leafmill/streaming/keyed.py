@@ -1,0 +1,111 @@
+"""Folds over streams by key: rate limits, breakers, repeated requests, caches.
+
+A step is a pure function (state, event) -> (state, outcome) over plain tuples. `fold_stream` runs it with Structured Streaming's
+keyed state; rows of a key arrive in chunks, so a hot key needs no more memory than another. Within a batch events are taken in order
+of their time, which needs one trigger's rows of a key to be sorted, and ties keep their `seq`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+Step = Callable[[tuple | None, dict], tuple[tuple | None, tuple]]
+
+
+def token_bucket(rate: float, capacity: float) -> Step:
+    """State (tokens, at); outcome (allowed, retry_after). A refused call keeps what was refilled."""
+
+    def step(state: tuple | None, e: dict) -> tuple[tuple, tuple]:
+        tokens, at = state or (capacity, e["at"])
+        tokens = min(capacity, tokens + max(0.0, e["at"] - at) * rate)
+        allowed = tokens >= 1
+        left = tokens - 1 if allowed else tokens
+        return (left, max(at, e["at"])), (allowed, 0.0 if allowed else (1 - tokens) / rate)
+
+    return step
+
+
+def circuit_breaker(threshold: int, cooldown: float) -> Step:
+    """State (failures, opened_at or -1, open); events carry `ok`; outcome (state seen, let_through). In the half-open state one call decides."""
+
+    def step(state: tuple | None, e: dict) -> tuple[tuple, tuple]:
+        failures, opened, is_open = state or (0, -1.0, False)
+        probing = is_open and e["at"] - opened >= cooldown
+        if is_open and not probing:
+            return (failures, opened, True), ("open", False)
+        seen = "half_open" if probing else "closed"
+        if e["ok"]:
+            return (0, -1.0, False), (seen, True)
+        failures += 1
+        return ((failures, e["at"], True) if probing or failures >= threshold else (failures, opened, False)), (seen, True)
+
+    return step
+
+
+def repeated_request(done_ttl: float, pending_ttl: float) -> Step:
+    """State (fingerprint, state, expires); events carry `fingerprint` and `status` (0: still running); outcome (answer, fresh)."""
+
+    def step(state: tuple | None, e: dict) -> tuple[tuple | None, tuple]:
+        if state and e["at"] >= state[2]:
+            state = None
+        if state and state[0] != e["fingerprint"]:
+            return state, ("conflict", False)
+        if state:
+            return state, ("in_progress" if state[1] == "pending" else "replayed", False)
+        if e["status"] == 0:
+            return (e["fingerprint"], "pending", e["at"] + pending_ttl), ("started", True)
+        if e["status"] >= 500 or e["status"] in (408, 409, 429):
+            return None, ("released", True)
+        return (e["fingerprint"], "done", e["at"] + done_ttl), ("done", True)
+
+    return step
+
+
+def cache_access(ttl: float, stale_ttl: float) -> Step:
+    """State (soft end, hard end); events carry `ok` (whether loading works); outcome (hit, miss, stale or error, loaded)."""
+
+    def step(state: tuple | None, e: dict) -> tuple[tuple | None, tuple]:
+        if state and e["at"] >= state[1]:
+            state = None
+        if state and e["at"] < state[0]:
+            return state, ("hit", False)
+        if e["ok"]:
+            return (e["at"] + ttl, e["at"] + ttl + stale_ttl), ("miss", True)
+        return state, ("stale" if state else "error", True)
+
+    return step
+
+
+def fold(events: list[dict], step: Step) -> list[tuple]:
+    """The outcomes of a key's events in order; the plain form of what the stream computes."""
+    state, out = None, []
+    for e in events:
+        state, got = step(state, e)
+        out.append(got)
+    return out
+
+
+def fold_stream(events: DataFrame, key: str, step: Step, state: str, outcome: str) -> DataFrame:
+    """(key, seq, outcome columns) for a stream with columns key, seq, at (seconds) and those the step reads. `state` and `outcome` are DDL."""
+    kind = events.schema[key].dataType.simpleString()
+    names = [f.split()[0] for f in outcome.split(",")]
+
+    def run(k: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(held.get) if held.exists else None
+        for chunk in chunks:
+            rows = []
+            for e in chunk.sort_values(["at", "seq"]).to_dict("records"):
+                now, got = step(now, e)
+                rows.append((*k, e["seq"], *got))
+            yield pd.DataFrame(rows, columns=[key, "seq", *names])
+        if now is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(now)
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, {outcome}", state, "append", GroupStateTimeout.NoTimeout)
