@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +71,6 @@ def clean_markup(text: Column) -> Column:
 
 def html_text(most: int):  # noqa: ANN201
     """A column function: tags removed, then entities decoded, squashed, cut to `most` characters."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
         return s.map(lambda t: html.unescape(t) if t and "&" in t else t)

@@ -31,12 +31,12 @@ def message_key(identifier: Column) -> Column:
     return F.lower(F.replace(identifier, F.lit("-"), F.lit("")))
 
 
-def _positions() -> list[Column]:
+def _positions(prefix: str = "dv") -> list[Column]:
     at = F.col("_metadata.row_index")
     return [
-        F.xxhash64(F.col("_metadata.file_path")).alias("dv_file"),
-        F.shiftright(at, 6).alias("dv_word"),
-        F.expr("shiftleft(1L, cast(_metadata.row_index & 63 AS int))").alias("dv_bit"),
+        F.xxhash64(F.col("_metadata.file_path")).alias(f"{prefix}_file"),
+        F.shiftright(at, 6).alias(f"{prefix}_word"),
+        F.expr("shiftleft(1L, cast(_metadata.row_index & 63 AS int))").alias(f"{prefix}_bit"),
     ]
 
 
@@ -79,10 +79,15 @@ def apply_deletion_vectors(
     by_hash = _check_file_keys(scan)
     sizes = {r.dv_file: r.n for r in vectors.groupBy("dv_file").agg(F.count("*").alias("n")).collect()}
 
+    p = "dv"
+    while any(c.lower().startswith(p) for c in columns):  # the table may have columns of these names
+        p += "_"
+
     def one(part: DataFrame, masks: DataFrame) -> DataFrame:
-        at = part.select("*", *_positions())
-        joined = at.join(F.broadcast(masks), ["dv_file", "dv_word"], "inner" if surplus else "left")
-        hit = F.col("dv_mask").bitwiseAND(F.col("dv_bit")) != 0
+        at = part.select("*", *_positions(p))
+        masks = masks.select(*[F.col(f"dv_{c}").alias(f"{p}_{c}") for c in ("file", "word", "mask")])
+        joined = at.join(F.broadcast(masks), [f"{p}_file", f"{p}_word"], "inner" if surplus else "left")
+        hit = F.col(f"{p}_mask").bitwiseAND(F.col(f"{p}_bit")) != 0
         return project(joined.where(hit if surplus else ~F.coalesce(hit, F.lit(False))).select(*[F.col(f"`{c}`") for c in columns]))
 
     if sum(sizes.values()) <= max_masks:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import sentences, squash
+from leafmill.functions.text import sentences, squash, tokens
 
 # Kind, pattern and weight of the rules for key points, in order.
 KINDS = [
@@ -82,19 +82,15 @@ def definitions(pages: DataFrame, order: list[str], text: str = "text") -> DataF
 def matching_definitions(selections: DataFrame, key: str, text: str, glossary: DataFrame, most: int = 6) -> DataFrame:
     """(key, term, definition): glossary terms that stand in a selection, as text or with all their tokens; the first `most` of each.
 
-    Candidates meet on shared words, not pair by pair: a term can only match a selection that has its first token, or, for a term
-    without tokens, its first word."""
-    from leafmill.functions.text import tokens
-
-    word = r"[^\s]+"
-    terms = glossary.select("term", "definition", F.lower("term").alias("low"), tokens(F.col("term")).alias("tt"))
-    anchor = F.when(F.size("tt") > 0, F.concat(F.lit("t:"), F.get("tt", F.lit(0)))).otherwise(F.concat(F.lit("g:"), F.substring("low", 1, 3)))
-    terms = terms.withColumn("anchor", anchor)
-    low = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(low, i, F.lit(3))))
-    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(low, i, F.lit(2))))
-    inner = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(word), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.lit("t:"), F.regexp_extract(F.substring(w, i, F.length(w)), r"^[a-z][a-z\-]*", 0)))))
-    mine = selections.select(F.col(key), low.alias("sel"), tokens(F.col(text)).alias("st"), F.explode(F.array_distinct(F.concat(grams, short, inner, F.transform(tokens(F.col(text)), lambda t: F.concat(F.lit("t:"), t))))).alias("anchor"))
+    Candidates meet on shared keys, not pair by pair: the first three characters of a term stand somewhere in a selection that contains
+    it, and its first token is among the tokens of one that has them all."""
+    low = F.lower("term")
+    keys = F.array(F.concat(F.lit("c:"), F.substring(low, 1, 3)), F.concat(F.lit("t:"), F.get(tokens(F.col("term")), F.lit(0))))
+    terms = glossary.where("term <> ''").select("term", "definition", low.alias("low"), tokens(F.col("term")).alias("tt"), F.explode(F.array_compact(keys)).alias("anchor"))
+    said = F.lower(F.col(text))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(said), F.lit(1))), lambda i: F.concat(F.lit("c:"), F.substring(said, i, F.lit(n))))
+    named = F.transform(tokens(F.col(text)), lambda t: F.concat(F.lit("t:"), t))
+    mine = selections.select(F.col(key), said.alias("sel"), tokens(F.col(text)).alias("st"), F.explode(F.array_distinct(F.concat(grams(3), grams(2), named))).alias("anchor"))
     hit = mine.join(terms, "anchor").where(F.col("sel").contains(F.col("low")) | ((F.size("tt") > 0) & (F.size(F.array_except("tt", "st")) == 0)))
     once = hit.select(key, "term", "definition").distinct()
     return once.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("term"))).where(F.col("r") <= most).drop("r")
