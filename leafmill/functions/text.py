@@ -15,16 +15,27 @@ STOPWORDS = (
     "such other any all each per than then also has have had if but so these those subsection section clause"
 ).split()
 
-TOKEN = r"[a-z][a-z\-]{2,}"
+
+
+def _one_of(words: list[str]) -> str:
+    """A pattern for exactly these words that decides letter by letter."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + (_one_of(tails) if any(tails) else "") for h, tails in sorted(heads.items()) if h]
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return f"(?:{body})?" if "" in heads and parts else body
+
+
+# Three and more letters or hyphens from the first letter of a run on, unless they are a stopword.
+TOKEN = r"(?<![a-z\-])-*((?!" + _one_of([w for w in STOPWORDS if len(w) > 2]) + r"(?![a-z\-]))[a-z][a-z\-]{2,})"
 SENTENCE = r"[^.!?]+[.!?]+(?=\s|$)|[^.!?]+$"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words of three and more ASCII letters (inner hyphens allowed) without stopwords, in order; null and
     empty texts have none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
 def index_tokens(text: Column) -> Column:

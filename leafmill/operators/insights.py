@@ -27,11 +27,10 @@ DEFINITION = r"[“\"]([^”\"]{2,60})[”\"]\s+(means|has the meaning|includes)
 
 
 def spark_rule(rule: str) -> str:
-    """Word boundaries count ASCII letters only, as in the rules' own dialect."""
+    """Word boundaries count ASCII letters only, as in the rules' own dialect. All rules begin with a word character."""
+    word = "[A-Za-z0-9_]"
     body = rule.removeprefix(r"\b").removesuffix(r"\b")
-    edge = "[A-Za-z0-9_]"
-    # at the end of a match, a boundary lies between a word character and anything else, either way round
-    return rf"(?i)(?:(?<!{edge})(?={edge})|(?<={edge})(?!{edge})){body}(?:(?<={edge})(?!{edge})|(?<!{edge})(?={edge}))"
+    return rf"(?i)(?<!{word}){body}(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
 
 
 def sql_rule(rule: str) -> str:

@@ -43,9 +43,9 @@ def sql_sentences(x: str) -> str:
 )
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "chunks").select(T.tokens(F.col("text")).alias("t"))
-    # one row per page and term before the shuffle, both counts in one pass
-    each = words.select(F.explode(F.array_distinct("t")).alias("term"), "t")
-    return each.groupBy("term").agg(F.sum(F.size(F.filter("t", lambda w: w == F.col("term")))).alias("tf"), F.count("*").alias("df"))
+    uses = words.select(F.explode("t").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
+    pages = words.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+    return uses.unionByName(pages).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 @READING.query("page_excerpts", f"SELECT id, {sql_squash('text')} AS squashed, {sql_excerpt('text', 320)} AS excerpt FROM chunks")
