@@ -9,9 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Smaller tables are not worth spreading.
+SPREAD_BYTES = 1 << 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if its files make fewer partitions than there are cores, as with one small file; larger tables
+    are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+        return df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def table_path(sf_dir: str, name: str) -> str:
