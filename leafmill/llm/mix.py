@@ -10,7 +10,7 @@ over blocks first, so a source with a third of all rows is spread) step over who
 missing in a source is set right by single copies of the documents whose size fits best.
 
 The total is the largest for which every source that has documents can reach its share, or the one asked
-for; in the latter case sources that would need more than max_repeats give all they have and are reported
+for, in tokens or AVAILABLE; in the latter cases sources that would need more than max_repeats give all they have and are reported
 as short. Sources without documents get nothing, and their share falls to the others in proportion.
 
 Tokens are those of the byte-level BPE vocabulary at `vocabulary`.
@@ -43,6 +43,8 @@ SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 UNIT = 1 << 20
 #: Sources in the table of targets; it is sent to every task.
 MAX_SOURCES = 10_000
+#: As a total: as many tokens as the wanted sources have.
+AVAILABLE = "available"
 
 
 def token_counter(vocabulary: str = VOCABULARY) -> Callable[[Column], Column]:
@@ -98,7 +100,7 @@ def sized_documents(documents: DataFrame, wanted: dict[str, Source], id_col: str
     return materialise(sized.where("tokens > 0").select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", "tokens"))
 
 
-def solve(sized: DataFrame, sources: dict[str, Source], total: int | None = None, tolerance: float = 1e-7, steps: int = 60) -> float:
+def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None = None, tolerance: float = 1e-7, steps: int = 60) -> float:
     """Sets goal, lam and full of each source by Newton steps on the dual; returns the rate all documents start from."""
     for r in sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).collect():
         sources[r.source].docs, sources[r.source].tokens = r.docs, r.tokens
@@ -107,7 +109,7 @@ def solve(sized: DataFrame, sources: dict[str, Source], total: int | None = None
         return 0.0
     held = sum(s.share for s in live.values())
     largest = min(s.cap * s.tokens / (s.share / held) for s in live.values())
-    size = largest if total is None else float(total)
+    size = largest if total is None else float(sum(s.tokens for s in live.values()) if total == AVAILABLE else total)
     rate = size / sum(s.tokens for s in live.values())
     for s in live.values():
         s.goal = float(min(s.share / held * size, s.cap * s.tokens))
@@ -160,35 +162,44 @@ def rounded(rated: DataFrame) -> DataFrame:
     return summed.select(*rated.columns, copies.cast("int").alias("copies"))
 
 
-def corrected(chosen: DataFrame, sources: dict[str, Source], rounds: int = 4) -> DataFrame:
-    """`chosen` with single copies added or taken where that brings a source nearer to its goal."""
+def corrected(chosen: DataFrame, sources: dict[str, Source], rounds: int = 8) -> DataFrame:
+    """`chosen` with single copies taken and added so that each source comes near its goal: where it is over, the smallest
+    document that brings it under goes; then the one that best fills the gap is added. The nearest state seen stands."""
     spark = chosen.sparkSession
     reached = {r.source: r.got for r in chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("got")).collect()}
-    change: dict[tuple[str, int], int] = {}
+    gap = {k: s.goal - reached.get(k, 0) for k, s in sources.items() if s.docs}
+    change: dict[str, dict[int, int]] = {k: {} for k in gap}
+    best = {k: (abs(g), {}) for k, g in gap.items()}
+    settled: set[str] = set()
     schema = "source string, row_no long, extra int"
     for _ in range(rounds):
-        gaps = [(k, float(s.goal - reached.get(k, 0))) for k, s in sources.items() if s.docs and abs(s.goal - reached.get(k, 0)) >= 1]
-        if not gaps:
+        open_ = [(k, float(g)) for k, g in gap.items() if k not in settled and abs(g) >= 1]
+        if not open_:
             break
-        side = F.broadcast(spark.createDataFrame(gaps, "source string, gap double"))
-        done = F.broadcast(spark.createDataFrame([(s, r, c) for (s, r), c in change.items()], schema))
+        side = F.broadcast(spark.createDataFrame(open_, "source string, gap double"))
+        done = F.broadcast(spark.createDataFrame([(k, r, c) for k, rows in change.items() for r, c in rows.items()], schema))
         now = chosen.join(side, "source").join(done, ["source", "row_no"], "left").withColumn("have", F.col("copies") + F.coalesce("extra", F.lit(0)))
-        able = ((F.col("gap") > 0) & (F.col("have") < F.col("cap"))) | ((F.col("gap") < 0) & (F.col("have") > 0))
-        best = now.where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("tokens")).alias("off"), "row_no", "tokens", "gap")).alias("b")).collect()
-        moved = False
-        for r in best:
-            if r.b.off < abs(r.b.gap):
-                sign = 1 if r.b.gap > 0 else -1
-                change[r.source, r.b.row_no] = change.get((r.source, r.b.row_no), 0) + sign
-                reached[r.source] = reached.get(r.source, 0) + sign * r.b.tokens
-                moved = True
-        if not moved:
-            break
-    done = F.broadcast(spark.createDataFrame([(s, r, c) for (s, r), c in change.items()], schema))
+        over = F.col("gap") < 0
+        now = now.where((over & (F.col("have") > 0)) | (~over & (F.col("have") < F.col("cap"))))
+        short = over & (F.col("tokens") < -F.col("gap"))  # taking it is not enough
+        off = F.when(short, -F.col("tokens")).otherwise(F.abs(F.abs("gap") - F.col("tokens")))
+        moves = now.groupBy("source").agg(F.min(F.struct(short.alias("short"), off.alias("off"), "row_no", "tokens")).alias("b")).collect()
+        for r in moves:
+            k, sign = r.source, 1 if gap[r.source] > 0 else -1
+            if sign > 0 and r.b.off >= gap[k]:
+                settled.add(k)
+                continue
+            change[k][r.b.row_no] = change[k].get(r.b.row_no, 0) + sign
+            gap[k] -= sign * r.b.tokens
+            if abs(gap[k]) < best[k][0]:
+                best[k] = (abs(gap[k]), dict(change[k]))
+        settled |= {k for k, _ in open_} - {r.source for r in moves}
+    rows = [(k, r, c) for k, (_, made) in best.items() for r, c in made.items()]
+    done = F.broadcast(spark.createDataFrame(rows, schema))
     return chosen.join(done, ["source", "row_no"], "left").withColumn("copies", F.col("copies") + F.coalesce("extra", F.lit(0))).drop("extra")
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, **columns: str) -> tuple[DataFrame, dict[str, Source]]:
+def mixed(documents: DataFrame, mix_targets: DataFrame, total: int | str | None = None, vocabulary: str = VOCABULARY, **columns: str) -> tuple[DataFrame, dict[str, Source]]:
     """(row_no, doc_id, source, tokens, cap, x, rate, copies) of all usable documents, and the sources."""
     sources = read_targets(mix_targets)
     sized = sized_documents(documents, sources, vocabulary=vocabulary, **columns)
@@ -197,12 +208,12 @@ def mixed(documents: DataFrame, mix_targets: DataFrame, total: int | None = None
     return corrected(chosen, sources), sources
 
 
-def collection(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, **named: str) -> DataFrame:
+def collection(documents: DataFrame, mix_targets: DataFrame, total: int | str | None = None, **named: str) -> DataFrame:
     """(doc_id, source, tokens, copies): the documents used and how often."""
     return mixed(documents, mix_targets, total, **named)[0].where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
-def shares(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, **named: str) -> DataFrame:
+def shares(documents: DataFrame, mix_targets: DataFrame, total: int | str | None = None, **named: str) -> DataFrame:
     """One row per wanted source: target, what it has, what was taken, the share reached, and whether it is met, short or has no documents."""
     chosen, sources = mixed(documents, mix_targets, total, **named)
     schema = "source string, target_share double, max_repeats int, available_docs long, available_tokens long, goal double"

@@ -79,6 +79,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+@LLM.query("p7_shares_of_available")
+def p7_shares_of_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the wanted sources have: small sources give all they may and are reported as short."""
+    return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mix.AVAILABLE)
+
+
 @LLM.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(table(spark, sf_dir, "documents"))
