@@ -152,18 +152,24 @@ def snapshot(state: OrphanState) -> DataFrame:
     return orphans(state).groupBy("field_name", "period", "reason").agg(F.count("*").alias("n_refs"))
 
 
-def replay(chunks: DataFrame, notes: DataFrame, cuts: list[int]) -> OrphanState:
-    """The state after feeding both tables in slices of time, cut at the moments `cuts` (epoch ms)."""
+def replay(chunks: DataFrame, notes: DataFrame, slices: int = 3, cuts: list[int] | None = None) -> OrphanState:
+    """The state after feeding both tables in slices of time, cut at the moments `cuts` (epoch ms), or into `slices` of equal length between
+    the first and the last reference."""
     events, refs = materialise(parent_events(chunks)), materialise(references(notes))
+    if cuts is None:
+        lo, hi = refs.agg(F.min("moment"), F.max("moment")).first()
+        cuts = [] if lo is None else [lo + (hi - lo) * k // slices for k in range(1, slices)]
     state = None
     edges = [None, *sorted(cuts), None]
     for lo, hi in zip(edges, edges[1:]):
-        def part(df: DataFrame, col: str) -> DataFrame:
-            inside = F.lit(True)
-            if lo is not None:
-                inside = inside & (F.col(col) >= lo)
-            if hi is not None:
-                inside = inside & (F.col(col) < hi)
-            return df.where(F.coalesce(inside, F.lit(lo is None)))  # rows without a moment come first
-        state = advance(state, part(events, "at"), part(refs, "moment"))
+        state = advance(state, _between(events, "at", lo, hi), _between(refs, "moment", lo, hi))
     return state
+
+
+def _between(df: DataFrame, col: str, lo: int | None, hi: int | None) -> DataFrame:
+    """Rows from `lo` up to, not including, `hi`; rows without a moment belong to the first slice."""
+    if lo is None and hi is None:
+        return df
+    first = F.col(col).isNull() if lo is None else F.lit(False)
+    inside = F.lit(True) if lo is None else F.col(col) >= lo
+    return df.where(first | (inside if hi is None else inside & (F.col(col) < hi)))

@@ -11,9 +11,6 @@ from leafmill.session import table, table_path
 
 GENERAL = Registry()
 
-#: Moments at which the replay of problem 1 is cut into batches: 1 July and 1 November 2025.
-P1_CUTS = [1_751_328_000_000, 1_761_955_200_000]
-
 _REFS_SQL = r"""
 WITH n AS (SELECT id, doc, chunk_id, coalesce(created_at, ts * 1000) AS m,
                   CASE WHEN json_valid(related) AND json_type(related) = 'ARRAY' THEN related ELSE '[]' END AS rel FROM notes),
@@ -43,12 +40,12 @@ orphan AS (
 
 @GENERAL.query("p1_found", _REFS_SQL + "SELECT * FROM orphan")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphans(orphans.replay(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes"), P1_CUTS))
+    return orphans.orphans(orphans.replay(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes")))
 
 
 @GENERAL.query("p1_snapshot", _REFS_SQL + "SELECT field_name, period, reason, count(*) AS n_refs FROM orphan GROUP BY ALL")
 def p1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.snapshot(orphans.replay(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes"), P1_CUTS))
+    return orphans.snapshot(orphans.replay(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes")))
 
 
 _STATE_SQL = r"""
