@@ -157,3 +157,46 @@ def citations(text: Column) -> Column:
 def reading_minutes(words: Column) -> Column:
     """Whole minutes at 230 words a minute, at least one."""
     return F.greatest(F.lit(1), F.floor(words / 230 + 0.5)).cast("int")
+
+
+def reader_sentences(text: Column) -> Column:
+    """Sentences as a reader shows them: with closing quotes and the space after; a text without any is one sentence."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?]+[.!?]+[\"”’)]*\s*|[^.!?]+$"), F.lit(0))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+
+
+def hits_query(sentence: Column, query_tokens: Column) -> Column:
+    """Whether a sentence has two of the query's distinct tokens, or its only one."""
+    distinct = F.array_distinct(query_tokens)
+    return (F.size(distinct) > 0) & (F.size(F.array_intersect(tokens(sentence), distinct)) >= F.least(F.lit(2), F.size(distinct)))
+
+
+def marks_sentence(selection: Column, sentence: Column) -> Column:
+    """Whether a selection and a sentence are the same text: equal, one within the other, or, from 12 characters on, alike in their first or
+    last 30 characters."""
+    a, b = squash(selection), squash(sentence)
+    ends = (F.length(a) >= 12) & (b.contains(F.substring(a, 1, 30)) | b.contains(F.substring(a, -30, 30)))
+    return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | ends)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, everything but letters and digits as single hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def age_label(seconds: Column) -> Column:
+    """How long ago: just now, minutes, hours, days, or weeks."""
+    n = lambda d, unit: F.concat(F.floor(seconds / d).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, n(60, " min ago")).when(seconds < 86400, n(3600, " h ago")).when(seconds < 7 * 86400, n(86400, " d ago")).otherwise(n(7 * 86400, " w ago"))
+
+
+def markdown_html(text: Column) -> Column:
+    """Markdown as HTML, escaped first: headings, list items, bold, emphasis, code and http(s) links."""
+    out = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    for pattern, new in (
+        (r"(?m)^### (.*)$", "<h4>$1</h4>"), (r"(?m)^## (.*)$", "<h3>$1</h3>"), (r"(?m)^[-*] (.*)$", "<li>$1</li>"),
+        (r"`([^`\n]+)`", "<code>$1</code>"), (r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>"), (r"(?<![\w*])[*_]([^*_\n]+)[*_](?![\w*])", "<em>$1</em>"),
+        (r"\[([^\]\n]+)\]\((https?://[^\s)\"]+)\)", '<a href="$2" rel="noopener">$1</a>'),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    return out

@@ -66,12 +66,11 @@ def view(notes: DataFrame, words: Column) -> DataFrame:
 
 
 def related_pages(notes: DataFrame) -> DataFrame:
-    """(doc_short, pages): the distinct pages that notes refer to, their own and those in `related`; notes of mode web are left out."""
+    """(doc_short, page): the distinct pages that notes refer to, their own and those in `related`; notes of mode web are left out."""
     items = F.coalesce(one_array(F.col("related"), "docShort STRING, page INT"), F.array().cast("array<struct<docShort:string,page:int>>"))
     own = F.struct(F.col("doc_short").alias("docShort"), F.col("page"))
     each = notes.where("mode IS NULL OR mode <> 'web'").select(F.explode(F.concat(F.array(own), items)).alias("r"))
-    rows = each.where("r.docShort IS NOT NULL AND r.page IS NOT NULL").select(F.col("r.docShort").alias("doc_short"), "r.page").distinct()
-    return rows.groupBy("doc_short").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return each.where("r.docShort IS NOT NULL AND r.page IS NOT NULL").select(F.col("r.docShort").alias("doc_short"), "r.page").distinct()
 
 
 def one_array(text: Column, fields: str) -> Column:

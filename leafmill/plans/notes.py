@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import changefeed, notebook, retrieval, telemetry, web
+from leafmill.operators import answers, changefeed, notebook, retrieval, telemetry, web
+from leafmill.operators.running import running
 from leafmill.plans.general import _STATE_SQL
-from leafmill.plans.reading import sql_squash, sql_tokens
+from leafmill.plans.reading import sql_excerpt, sql_sentences, sql_squash, sql_tokens
 from leafmill.plans.registry import Registry
 from leafmill.session import table
 
@@ -82,7 +83,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     "referenced_pages",
     """WITH r AS (SELECT doc_short, page FROM notes WHERE mode IS NULL OR mode <> 'web'
       UNION SELECT x->>'$.docShort', (x->>'$.page')::INT FROM (SELECT unnest(from_json(CASE WHEN json_valid(related) AND json_type(related) = 'ARRAY' THEN related ELSE '[]' END, '["JSON"]')) AS x FROM notes WHERE mode IS NULL OR mode <> 'web'))
-    SELECT doc_short, list_sort(list(DISTINCT page)) AS pages FROM r WHERE doc_short IS NOT NULL AND page IS NOT NULL GROUP BY doc_short""",
+    SELECT DISTINCT doc_short, page FROM r WHERE doc_short IS NOT NULL AND page IS NOT NULL""",
 )
 def referenced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notebook.related_pages(table(spark, sf_dir, "notes"))
@@ -250,3 +251,137 @@ def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95th percentile read off the buckets, tested against a plain reading in the tests."""
     return telemetry.quantile(telemetry.bucket_counts(table(spark, sf_dir, "events"), F.col("value"), ["event_type"]), 0.95, ["event_type"])
+
+
+@NOTES.query("outbox_scan", "SELECT seq, event_id, topic, attempts FROM outbox WHERE published_at IS NULL ORDER BY seq LIMIT 100")
+def outbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next hundred rows to publish, in order: the batch of a relay."""
+    return table(spark, sf_dir, "outbox").where("published_at IS NULL").select("seq", "event_id", "topic", "attempts").orderBy("seq").limit(100)
+
+
+@NOTES.query(
+    "outbox_retained",
+    "SELECT topic, published_at IS NULL AS waiting, count(*) AS n_rows, min(seq) AS first_seq FROM outbox WHERE published_at IS NULL OR published_at >= (SELECT max(published_at) FROM outbox) - 7 * 86400 GROUP BY ALL",
+)
+def outbox_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after published rows older than seven days are purged."""
+    rows = table(spark, sf_dir, "outbox")
+    newest = rows.agg(F.max("published_at")).first()[0]
+    waiting = F.col("published_at").isNull()
+    kept = rows if newest is None else rows.where(waiting | (F.col("published_at") >= newest - 7 * 86400))
+    return kept.groupBy("topic", waiting.alias("waiting")).agg(F.count("*").alias("n_rows"), F.min("seq").alias("first_seq"))
+
+
+@NOTES.query(
+    "outbox_in_flight",
+    """WITH e AS (SELECT topic, seq, created_at AS t, 1 AS d, 0 AS o FROM outbox WHERE published_at IS NOT NULL UNION ALL SELECT topic, seq, published_at, -1, -1 FROM outbox WHERE published_at IS NOT NULL),
+    r AS (SELECT topic, seq, d, sum(d) OVER (PARTITION BY topic ORDER BY t, o, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM e)
+    SELECT topic, seq, coalesce(n, 0)::BIGINT AS ahead FROM r WHERE d = 1""",
+)
+def outbox_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of the topic were under way when each row was created; a topic is a long key, so the count runs in buckets of minutes."""
+    rows = table(spark, sf_dir, "outbox").where("published_at IS NOT NULL")
+    one = lambda at, d: F.struct(F.col(at).alias("at"), F.lit(d).cast("long").alias("d"), F.lit(min(d, 0)).alias("o"))
+    events = rows.select("topic", "seq", F.explode(F.array(one("created_at", 1), one("published_at", -1))).alias("e")).select("topic", "seq", "e.*")
+    counted = running(events, ["topic"], [F.col("at"), F.col("o"), F.col("seq")], F.floor(F.col("at") / 60), F.col("d"), "sum", "n")
+    return counted.where("d = 1").select("topic", "seq", F.coalesce("n", F.lit(0)).alias("ahead"))
+
+
+@NOTES.query(
+    "note_projection",
+    _ONCE_SQL + """ SELECT note_id, version, is_delete, seq FROM once WHERE version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY version DESC, seq DESC) = 1""",
+)
+def note_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read model: lower versions are ignored, equal ones applied, so the last arrival of the highest version stands, upsert or not."""
+    changes = changefeed.read_changes(table(spark, sf_dir, "outbox"))
+    return changes.groupBy("note_id").agg(F.max(F.struct("version", "seq", "is_delete")).alias("m")).select("note_id", "m.version", "m.is_delete", "m.seq")
+
+
+@NOTES.query(
+    "search_merge",
+    f"""WITH {_ASKED_SQL.replace('asked AS', 'asked0 AS')}, asked AS (SELECT * FROM asked0),
+    n AS (SELECT id, {sql_tokens("concat_ws(' ', selection, answer, comment, session)")} AS t FROM (SELECT DISTINCT * FROM notes)),
+    post AS (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM n) GROUP BY ALL),
+    scored AS (SELECT query, id, sum(tf / (1 + sqrt(len))) AS score FROM asked JOIN post USING (term) GROUP BY ALL),
+    top AS (SELECT query, id FROM scored QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) <= 10),
+    gone AS (SELECT DISTINCT id FROM tombstones),
+    mine AS (SELECT request_id AS query, n.id FROM generate_requests g JOIN (SELECT DISTINCT id, chunk_id FROM notes) n ON n.chunk_id = g.chunk_id WHERE regexp_extract(request_id, '(\\d+)$', 1)::BIGINT % 20 = 0)
+    SELECT query, id AS note_id, 'server' AS origin FROM top WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT DISTINCT query, id, 'local' FROM mine WHERE (query, id) NOT IN (SELECT (query, id) FROM top)""",
+)
+def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found notes that are not deleted by now, and the notes on the request's own page that were not found."""
+    stated = table(spark, sf_dir, "generate_requests").where(F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % 20 == 0)
+    notes = _stored(spark, sf_dir)
+    scored = retrieval.note_scores(notes, "id", F.concat_ws(" ", "selection", "answer", "comment", "session"), retrieval.query_terms(stated, "request_id", "selection"))
+    top = retrieval.best(scored, 10).select("query", F.col("page").alias("note_id"))
+    gone = table(spark, sf_dir, "tombstones").select(F.col("id").alias("note_id")).distinct()
+    mine = stated.select(F.col("request_id").alias("query"), "chunk_id").join(notes.select("chunk_id", F.col("id").alias("note_id")), "chunk_id").select("query", "note_id").distinct()
+    return top.join(gone, "note_id", "left_anti").select("query", "note_id", F.lit("server").alias("origin")).unionByName(
+        mine.join(top, ["query", "note_id"], "left_anti").select("query", "note_id", F.lit("local").alias("origin"))
+    )
+
+
+@NOTES.query(
+    "rejected_changes",
+    _STATE_SQL.split("ops AS (")[0].rstrip().removesuffix(",")
+    + r""", o AS (SELECT CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j FROM parsed WHERE kind = 'note.upserted'),
+    r AS (SELECT CASE WHEN j IS NULL THEN 'unreadable' WHEN NOT coalesce(regexp_full_match(j->>'$.id', '[A-Za-z0-9_\-]{1,64}'), false) THEN 'id'
+      WHEN length(coalesce(j->>'$.selection', '')) > 5000 THEN 'selection' WHEN length(coalesce(j->>'$.answer', '')) > 50000 THEN 'answer' WHEN length(coalesce(j->>'$.comment', '')) > 10000 THEN 'comment'
+      WHEN length(coalesce(j->>'$.session', '')) > 80 THEN 'session' WHEN NOT coalesce(regexp_full_match(j->>'$.color', '[a-z]{1,12}'), true) THEN 'color' ELSE 'accepted' END AS verdict FROM o)
+    SELECT verdict, count(*) AS n_rows FROM r GROUP BY verdict""",
+)
+def rejected_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserts by the first limit they break."""
+    b = changefeed.one_object(F.col("payload"), "id: STRING, selection: STRING, answer: STRING, comment: STRING, session: STRING, color: STRING")
+    rows = table(spark, sf_dir, "outbox").where(F.lower(F.regexp_replace("type", r"(?U)^\s+|\s+$", "")) == "note.upserted").select(b.alias("b"))
+    long_ = lambda c, n: F.length(F.coalesce(F.col(f"b.{c}"), F.lit(""))) > n
+    verdict = (
+        F.when(F.col("b").isNull(), "unreadable").when(~F.coalesce(F.col("b.id").rlike(r"\A[A-Za-z0-9_\-]{1,64}\z"), F.lit(False)), "id")
+        .when(long_("selection", 5000), "selection").when(long_("answer", 50000), "answer").when(long_("comment", 10000), "comment").when(long_("session", 80), "session")
+        .when(~F.coalesce(F.col("b.color").rlike(r"\A[a-z]{1,12}\z"), F.lit(True)), "color").otherwise("accepted")
+    )
+    return rows.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n_rows"))
+
+
+@NOTES.query(
+    "session_briefs",
+    f"""WITH n AS (SELECT session, doc_short, coalesce(page, -1) AS p, coalesce(created_at, ts * 1000) AS t, id, '- p.' || coalesce(page::VARCHAR, '?') || ' ' || {sql_excerpt('selection', 200)} || CASE WHEN coalesce(comment, '') <> '' THEN ' — ' || {sql_excerpt('comment', 200)} ELSE '' END AS line
+      FROM (SELECT DISTINCT * FROM notes) WHERE session <> '' AND status = 'done')
+    SELECT session, doc_short, row_number() OVER (PARTITION BY session, doc_short ORDER BY p, t, id) AS line_no, line FROM n""",
+)
+def session_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.brief_lines(_stored(spark, sf_dir))
+
+
+@NOTES.query("extractive_answers")
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every request whose number is divisible by 20: an answer quoted from the five best pages, its own left out, and the web references of
+    its page's notes."""
+    pages = table(spark, sf_dir, "chunks")
+    stated = table(spark, sf_dir, "generate_requests").where(F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % 20 == 0)
+    asked = retrieval.query_terms(stated, "request_id", "selection")
+    own = stated.select(F.col("request_id").alias("query"), F.col("chunk_id").alias("page"))
+    top = retrieval.best(retrieval.scores(retrieval.build(pages, "id", "text"), asked).join(own, ["query", "page"], "left_anti"), 5)
+    texts = pages.select(F.col("id").alias("page"), "doc_short", F.col("page").alias("page_no"), "text")
+    passages = top.join(texts, "page").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_short", F.col("page_no").alias("page"), "text"))).alias("passages"))  # five at most
+    rows = stated.join(passages.withColumnRenamed("query", "request_id"), "request_id", "left")
+    none = F.array().cast("array<struct<rank:int,doc_short:string,page:int,text:string>>")
+    no_terms = F.array().cast("array<struct<term:string,definition:string,doc_short:string,page:int>>")
+    no_web = F.array().cast("array<struct<title:string,url:string,snippet:string,domain:string,tier_label:string>>")
+    text = answers.answer(F.col("mode"), F.coalesce("selection", F.lit("")), F.coalesce("passages", none), no_terms, no_web, F.lit("model switched off"))
+    return rows.select("request_id", text.alias("answer"))
+
+
+@NOTES.query(
+    "marked_sentences",
+    f"""WITH p AS (SELECT id, {sql_squash('text')} AS t FROM chunks), s AS (SELECT id, unnest(l) AS s, (generate_subscripts(l, 1) - 1)::INT AS pos FROM (SELECT id, {sql_sentences('t')} AS l FROM p)),
+    n AS (SELECT id AS note_id, regexp_replace(chunk_id, '^\\s+|\\s+$', '', 'g') AS chunk, {sql_squash('selection')} AS a FROM (SELECT DISTINCT * FROM notes) WHERE mode = 'highlight')
+    SELECT note_id, pos FROM n JOIN s ON s.id = n.chunk WHERE a <> '' AND (contains(a, s) OR contains(s, a) OR (length(a) >= 12 AND (contains(s, a[1:30]) OR contains(s, CASE WHEN length(a) > 30 THEN a[-30:] ELSE a END))))""",
+)
+def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sentences of its page a highlight marks: joined on the page, matched within the row."""
+    notes = _stored(spark, sf_dir).where("mode = 'highlight'").select(F.col("id").alias("note_id"), F.regexp_replace("chunk_id", r"^\s+|\s+$", "").alias("chunk"), "selection")
+    pages = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk"), T.sentences(F.col("text")).alias("s"))
+    each = notes.join(pages, "chunk").select("note_id", "selection", F.posexplode("s").alias("pos", "sentence"))
+    return each.where(T.marks_sentence(F.col("selection"), F.col("sentence"))).select("note_id", "pos")

@@ -136,3 +136,26 @@ def test_quantile_from_buckets(spark):
     df = spark.createDataFrame([("a", 0.003), ("a", 0.2), ("a", 0.2), ("a", 0.4), ("b", 99.0), ("c", None)], "k string, v double")
     got = {r.k: r.value for r in telemetry.quantile(telemetry.bucket_counts(df, F.col("v"), ["k"]), 0.75, ["k"]).collect()}
     assert got == {"a": 0.25, "b": 60.0}
+
+
+def test_reader_functions(spark):
+    assert one(spark, T.reader_sentences, 'He said "no." Then left. end', "", None)[0] == ['He said "no." ', "Then left. ", "end"]
+    assert one(spark, T.slug, " Über: Plan 2! ", None) == ["ber-plan-2", ""]
+    assert one(spark, lambda c: T.age_label(c.cast("int")), "5", "120", "7200", "172800", "1500000") == ["just now", "2 min ago", "2 h ago", "2 d ago", "2 w ago"]
+    q = F.array(F.lit("water"), F.lit("tariff"), F.lit("water"))
+    assert one(spark, lambda c: T.hits_query(c, q), "Water here", "The water tariff") == [False, True]
+    assert one(spark, lambda c: T.marks_sentence(c, F.lit("The board  keeps a register of all")), "board keeps", "The board keeps a register of all and more", "", "board kept it", None) == [True, True, False, False, False]
+    html = one(spark, T.markdown_html, "## Head\n- **b** <i> `x` [t](https://a.b/) [u](javascript:x)")[0]
+    assert html == '<h3>Head</h3>\n<li><strong>b</strong> &lt;i&gt; <code>x</code> <a href="https://a.b/" rel="noopener">t</a> [u](javascript:x)</li>'
+
+
+def test_extractive_answer(spark):
+    from leafmill.operators import answers
+
+    row = spark.createDataFrame(
+        [("simplify", "water tariff", [("B", 3, "The water tariff rises. Nothing.")], [("Tariff", "means a fee", "B", 1)], [("T", "https://x.y/", "snip", "x.y", "News")]), ("ask", "zzz", [], [], [])],
+        "m string, s string, p array<struct<doc_short:string,page:int,text:string>>, d array<struct<term:string,definition:string,doc_short:string,page:int>>, w array<struct<title:string,url:string,snippet:string,domain:string,tier_label:string>>",
+    )
+    got = [r.a for r in row.select(answers.answer(*[F.col(c) for c in "mspdw"], F.lit("off")).alias("a")).collect()]
+    assert got[0].split("\n")[:6] == ["## Defined terms", "- **Tariff** means a fee [B, p.1]", "## Related wording elsewhere", "- The water tariff rises. [B, p.3]", "## Beyond the documents (web)", "- [T](https://x.y/) — snip _(x.y · News)_"]
+    assert got[1].startswith("No closely related") and got[1].endswith("without a language model (off)._")
