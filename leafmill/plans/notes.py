@@ -385,3 +385,26 @@ def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk"), T.sentences(F.col("text")).alias("s"))
     each = notes.join(pages, "chunk").select("note_id", "selection", F.posexplode("s").alias("pos", "sentence"))
     return each.where(T.marks_sentence(F.col("selection"), F.col("sentence"))).select("note_id", "pos")
+
+
+@NOTES.query(
+    "related_notes",
+    f"""WITH p AS (SELECT id, doc, page, {sql_tokens('text')} AS t FROM chunks WHERE page % 20 = 0),
+    each AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM p),
+    terms AS (SELECT id, term FROM (SELECT id, term, count(*) AS tf, min(i) AS i FROM each GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tf, i) <= 12),
+    n AS (SELECT * FROM (SELECT DISTINCT * FROM notes) WHERE status = 'done'),
+    said AS (SELECT id AS note_id, unnest({sql_tokens("concat_ws(' ', selection, comment)")}) AS term FROM n),
+    used AS (SELECT terms.id, note_id, count(*) AS s FROM said JOIN terms USING (term) GROUP BY ALL),
+    cites AS (SELECT DISTINCT x->>'$.id' AS id, n_id AS note_id, 3 AS s FROM (SELECT id AS n_id, unnest(from_json(CASE WHEN json_valid(related) AND json_type(related) = 'ARRAY' THEN related ELSE '[]' END, '["JSON"]')) AS x FROM n) WHERE x->>'$.id' IN (SELECT id FROM p)),
+    sc AS (SELECT id, note_id, sum(s)::BIGINT AS score FROM (SELECT * FROM used UNION ALL SELECT * FROM cites) GROUP BY ALL HAVING sum(s) >= 3)
+    SELECT sc.id AS page, note_id, score, row_number() OVER (PARTITION BY sc.id ORDER BY score DESC, note_id) AS rank FROM sc JOIN p USING (id) JOIN n ON n.id = note_id
+    WHERE NOT coalesce(n.doc = p.doc AND n.page = p.page, false) QUALIFY rank <= 3""",
+)
+def related_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth page of each document."""
+    pages = table(spark, sf_dir, "chunks").where("page % 20 = 0").select(F.col("id").alias("page"), "doc", F.col("page").alias("page_no"), "text")
+    cited = F.coalesce(F.transform(notebook.one_array(F.col("related"), "id STRING"), lambda r: r["id"]), F.array().cast("array<string>"))
+    notes = _stored(spark, sf_dir).where("status = 'done'").select(
+        F.col("id").alias("note_id"), "doc", F.col("page").alias("page_no"), F.concat_ws(" ", "selection", "comment").alias("said"), cited.alias("related")
+    )
+    return retrieval.related_notes(notes, pages)
