@@ -53,7 +53,11 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("item.table_name", "item.item_id", "piece_no", "start_char", "end_char", "cut", "text")
 
 
-@LLM.query("p6_found")
+_GRAMS = """SELECT {id}, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k+11], ' '))) AS g
+    FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {table}) WHERE len(w) >= 12"""
+
+
+@LLM.query("p6_found", f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) JOIN ({_GRAMS.format(id='item_id', table='benchmark')}) USING (g)")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = leak.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -85,7 +89,14 @@ def p7_shares_of_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mix.AVAILABLE)
 
 
-@LLM.query("p8_found")
+@LLM.query(
+    "p8_found",
+    """WITH w AS (SELECT doc_id, unnest(generate_series(1, length(text) - 399)) AS k, text FROM documents WHERE length(text) >= 400),
+    h AS (SELECT doc_id, k, md5_number(substr(text, k, 400)) AS h FROM w),
+    twice AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    s AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM h WHERE h IN (SELECT h FROM twice))
+    SELECT doc_id, sum(least(400, coalesce(n - k, 400)))::BIGINT AS shared_chars FROM s GROUP BY doc_id""",
+)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(table(spark, sf_dir, "documents"))
 
