@@ -1,19 +1,19 @@
 """Repair of text from scanned pages: page furniture, words broken over lines, misread characters.
 
-1. One pass counts the words of all pages. Frequent words are the vocabulary, without those that are a
+1. One pass counts the words of all pages. Words seen LEAST times are known, at every size of the input, without those that are a
    misreading of a far more frequent one.
 2. A second pass takes each page as a whole. Lines that hold the page number, the running title or an
-   issuer's line are furniture. A word cut at a line's end is joined with the next line of running text
-   if the joined word, and not the compound with the hyphen, is known. Every other unknown word is looked up in
-   the vocabulary: the automaton of its misreadings is intersected with the vocabulary's trie, which
-   yields all candidates within the cost; of several the one that best follows and precedes its neighbours
-   stands, then the more frequent.
-3. What was found is reported line by line, or applied: furniture goes, broken words are joined, words are put right,
+   issuer's line are furniture. A word cut at a line's end and the next line of running text are a case, and so is every word that is
+   not known.
+3. Each distinct word of the cases is looked up once: the automaton of its misreadings is intersected with tries of the known words.
+   A broken word is joined if the joined word, and not the compound with the hyphen, is known. Of several candidates for a misread word
+   the one that best follows and precedes its neighbours stands, then the more frequent; only pairs that are asked for are counted.
+4. What was found is reported line by line, or applied: furniture goes, broken words are joined, words are put right,
    and lines are reflowed into paragraphs. Pages in which nothing was found are left as they are.
 
-Pages are independent, so text is never shuffled; only word counts are, combined per task. The vocabulary
-is sent to all tasks: its words make up at least 1/MAX_WORDS of all words each, so there are at most
-MAX_WORDS of them.
+Known words, cases and candidates are tables; words meet tries of at most about SHARD known words, in blocks of QUERIES words. Only the
+most frequent HOT words go to all tasks, to keep certain cases out of the joins; what is rarer is joined, so nothing depends on them.
+Pages are read again rather than shuffled, except to apply the repairs.
 
 Cases: null and empty pages have no lines to repair; a null title or page number only switches off the
 rules that need it; repeated pages are repaired alike, and reported once; very long pages are like others; an
@@ -24,19 +24,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import automaton
+from leafmill.session import materialise
 
-#: Bound of the vocabulary, and the least count of a word in it.
-MAX_WORDS, LEAST = 500_000, 3
+#: The least count of a known word.
+LEAST = 3
+#: Known words of a trie, words looked up by a task, and words and pairs of words that tasks may hold to keep rows out of joins.
+SHARD, QUERIES, HOT = 100_000, 20_000, 200_000
 #: A word is taken for a misreading if its printed form is so many times as frequent; fewer if it has digits or signs in it.
 RATIO, RATIO_ODD = 20, 2
 
@@ -182,71 +185,19 @@ def word_of(token: str) -> str:
 
 @dataclass
 class Vocabulary:
-    """Known words with their counts, the trie over them, and counts of neighbours for words that can be mistaken."""
-
-    counts: dict[str, int]
-    follows: dict[tuple[str, str], int] = field(default_factory=dict)
-    trie: automaton.Trie | None = None
-    _found: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
-    _known: dict[str, str | None] = field(default_factory=dict)
-    right: set[str] = field(default_factory=set)  # tokens seen that need no repair
-
-    def __post_init__(self) -> None:
-        self.trie = automaton.Trie.of(list(self.counts))
-
-    def unknown(self, token: str) -> str | None:
-        """The word of a token that may need repair, else None."""
-        got = self._known.get(token, 0)
-        if got == 0:
-            if len(self._known) > 1_000_000:
-                self._known.clear()
-                self.right.clear()
-            w = word_of(token)
-            got = None if not w or w in self.counts or w.rstrip("!|") in self.counts or w.lstrip("!|") in self.counts and w[0] == "|" else w
-            if not w and year_of(token.strip(AROUND)):
-                got = token.strip(AROUND)
-            if got and year_of(got) is None and (len(got) < 3 and got.isalpha() or _ROMAN.fullmatch(got)):
-                got = None
-            self._known[token] = got
-            if got is None:
-                self.right.add(token)
-        return got
-
-    def look_up(self, words: list[str]) -> None:
-        """Find the candidates of all `words` at once."""
-        new = [w for w in dict.fromkeys(words) if w not in self._found]
-        if len(self._found) > 500_000:
-            self._found.clear()
-            new = list(dict.fromkeys(words))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self._search(part, costs(part), False)
-            rest = [x for x in part if not self._found[x]]  # no listed misreading: other edits too
-            self._search(rest, np.minimum(costs(rest), 3), True)
-
-    def _search(self, words: list[str], most: np.ndarray, edits: bool) -> None:
-        q, w, cost = automaton.candidates(words, self.trie, most, edits)
-        for x in words:
-            self._found[x] = []
-        for a, b, c in zip(q.tolist(), w.tolist(), cost.tolist()):
-            self._found[words[a]].append((c, self.trie.words[b]))
-
-    def best(self, word: str, before: str, after: str) -> str | None:
-        """The printed form of an unknown word between its neighbours; None if there is none."""
-        y = year_of(word)
-        if y:
-            return y
-        found = self._found.get(word)
-        if not found:
-            return None
-        least = min(c for c, _ in found)
-        near = [w for c, w in found if c <= least + 1]
-        def rank(w: str) -> tuple[float, int]:
-            fit = self.follows.get((before, w), 0) * 1.0 + self.follows.get((w, after), 0)
-            return (fit / (1 + self.counts[w]) if any(c == least for c, x in found if x == w) or fit else -1.0, self.counts[w])
-        at_least = [w for c, w in found if c == least]
-        pool = at_least if len(at_least) > 1 else near
-        return max(pool, key=rank) if len(pool) > 1 and self.follows else max(at_least, key=lambda w: self.counts[w])
+    """The known words as a table (word, n)."""
+
+    words: DataFrame
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """All of them on the driver: for small inputs."""
+        return {r.word: r.n for r in self.words.toLocalIterator()}
+
+    def hot(self) -> dict[str, int]:
+        """The most frequent words, HOT at most; all others are rarer than each of them."""
+        top = [(r.word, r.n) for r in self.words.orderBy(F.desc("n")).limit(HOT + 1).collect()]
+        return {w: n for w, n in top if len(top) <= HOT or n > top[-1][1]}
 
 
 def costs(words: list[str]) -> np.ndarray:
@@ -254,80 +205,184 @@ def costs(words: list[str]) -> np.ndarray:
     return np.array([1 if len(w) < 3 else 2 if len(w) < 5 else 3 if len(w) < 9 else 4 for w in words], np.int64)
 
 
-def broken_word(left: str, right: str, mark: str, vocabulary: Vocabulary) -> str | None:
-    """The whole word if `left` + mark at a line's end and `right` on the next line are one word, else None."""
-    a, b = left.strip(AROUND).lower(), right.strip(AROUND).rstrip(BREAKS).lower()
-    if not a or not b or not a[-1].isalpha() or not b[0].isalpha():
-        return None
-    joined, compound = a + b, f"{a}-{b}"
-    counts = vocabulary.counts
-    whole, made = counts.get(joined, 0), counts.get(compound, 0)
-    if whole or made:
-        return joined if whole >= made else None
-    if mark == "-" and b in AFTER_SUSPENDED:
-        return None
-    vocabulary.look_up([joined, compound])
-    one, two = vocabulary._found[joined], vocabulary._found[compound]
-    if one or two:
-        least = min(c for c, _ in one) if one else 99
-        if two and min(c for c, _ in two) < least:
-            return None
-        return max((w for c, w in one if c == least), key=lambda w: counts[w])
-    if mark == "-" and a in counts and b in counts:
-        return None
-    return joined
-
-
-def read_page(text: str, title: str | None, page: int | None, vocabulary: Vocabulary) -> tuple[list[str], list[list[str]], list[bool], dict[int, str], dict[int, int], set[int], list[tuple[int, int, str]]]:
-    """Lines, their tokens, furniture, whole words by the line they begin on, the line each continues on, lines
-    that go on with the second half of a compound, and the unknown words (line, token, word)."""
+def meet(asked: DataFrame, known: DataFrame, edits: bool, most: int = 4, keep: Callable[[str, int, str, int], bool] | None = None) -> DataFrame:
+    """(word, found, cost, n): the known words (word, n) within the cost of each of `asked` (word, m), a cost of `most` at the most; `keep`
+    judges (word, m, found, n). Both are read more than once."""
+    shards = max(1, -(-known.count() // SHARD))
+    blocks = max(-(-asked.count() // QUERIES), -(-3 * known.sparkSession.sparkContext.defaultParallelism // shards))
+
+    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(mine) and len(theirs):
+            words, n = mine["word"].tolist(), dict(zip(theirs["found"], theirs["k"]))
+            trie = automaton.Trie.of(list(n))
+            q, w, cost = automaton.candidates(words, trie, np.minimum(costs(words), most), edits)
+            m = mine["m"].tolist()
+            rows = [(words[a], x, c, n[x]) for a, c, x in zip(q.tolist(), cost.tolist(), [trie.words[b] for b in w.tolist()]) if keep is None or keep(words[a], m[a], x, n[x])]
+        return pd.DataFrame(rows, columns=["word", "found", "cost", "n"])
+
+    part = lambda k: F.pmod(F.xxhash64("word"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.select("word", "m", part(blocks).alias("b"), every(shards).alias("s")).repartition(shards * blocks, "s", "b")
+    right = known.select(F.col("word").alias("found"), F.col("n").alias("k"), part(shards).alias("s"), every(blocks).alias("b")).repartition(shards * blocks, "s", "b")
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, "word string, found string, cost int, n long")
+
+
+def lines_of(text: str, title: str | None, page: int | None) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Lines, their tokens, furniture, pairs of lines with a word or compound broken between them, and (line, first, end) of the whole
+    tokens of running text."""
     lines = text.split("\n")
     words = [x.split() for x in lines]
     out = furniture(lines, words, PageMarks(title, page))
-    broken: dict[int, str] = {}
-    continued: dict[int, int] = {}
-    compound: set[int] = set()  # lines that end, and (~) that begin, with half of a compound
     running = [k for k in range(len(lines)) if words[k] and not out[k]]
-    for k, m in zip(running, running[1:]):
-        last = words[k][-1]
-        if last[-1] in BREAKS and len(last) > 1:
-            w = broken_word(last.rstrip(BREAKS), words[m][0], last[-1], vocabulary)
-            if w:
-                broken[k], continued[m] = w, k
-            else:
-                compound.add(k)
-                compound.add(~m)
-    unknown = []
-    right = vocabulary.right
-    for k in running:
-        ws = words[k]
-        lo, hi = (1 if k in continued or ~k in compound else 0), len(ws) - (1 if k in broken or k in compound else 0)
-        if right.issuperset(ws):
-            continue
-        for j in range(lo, hi):
-            if ws[j] not in right:
-                w = vocabulary.unknown(ws[j])
-                if w is not None:
-                    unknown.append((k, j, w))
-    glued = {~k for k in compound if k < 0 and words[~k][0].strip(AROUND).lower() not in AFTER_SUSPENDED}
-    return lines, words, out, broken, continued, glued, unknown
+    breaks = [(k, m) for k, m in zip(running, running[1:]) if words[k][-1][-1] in BREAKS and len(words[k][-1]) > 1]
+    ended, begun = {k for k, _ in breaks}, {m for _, m in breaks}
+    return lines, words, out, breaks, [(k, int(k in begun), len(words[k]) - (k in ended)) for k in running]
 
 
 def neighbours(words: list[list[str]], k: int, j: int) -> tuple[str, str]:
     return (word_of(words[k][j - 1]) if j else ""), (word_of(words[k][j + 1]) if j + 1 < len(words[k]) else "")
 
 
-def findings(pages: list[tuple[str | None, str | None, int | None]], vocabulary: Vocabulary) -> Iterator[tuple[int, object]]:
-    """For each (text, title, page): its index and (lines, words, furniture, broken, continued, glued, {(line, token): word})."""
-    read = [(n, read_page(t, title, p, vocabulary)) for n, (t, title, p) in enumerate(pages) if t]
-    vocabulary.look_up([w for _, r in read for *_, w in r[6]])
-    for n, (lines, words, out, broken, continued, glued, unknown) in read:
-        right = {}
-        for k, j, w in unknown:
-            b = vocabulary.best(w, *neighbours(words, k, j))
-            if b is not None and b != w:
-                right[k, j] = b
-        yield n, (lines, words, out, broken, continued, glued, right)
+def doubted(token: str, sure: dict[str, int]) -> tuple[str, bool] | None:
+    """The word of a token that may need repair, and whether it is a year; None if it needs none."""
+    w = word_of(token)
+    if not w:
+        bare = token.strip(AROUND)
+        return (bare, True) if year_of(bare) else None
+    if w in sure or w.rstrip("!|") in sure or w[0] == "|" and w.lstrip("!|") in sure:
+        return None
+    if year_of(w):
+        return w, True
+    return None if len(w) < 3 and w.isalpha() or _ROMAN.fullmatch(w) else (w, False)
+
+
+def broken_case(left: str, right: str, mark: str, sure: dict[str, int]) -> tuple[str | None, tuple[str, str] | None]:
+    """The whole word of two halves if it is certain; else the halves, if they can be one word."""
+    a, b = left.strip(AROUND).lower(), right.strip(AROUND).rstrip(BREAKS).lower()
+    if not a or not b or not a[-1].isalpha() or not b[0].isalpha():
+        return None, None
+    whole, made = sure.get(a + b, 0), sure.get(f"{a}-{b}", 0)
+    if whole and whole >= made:
+        return a + b, None
+    return None, None if whole else (a, b)
+
+
+_CASE = "line_no long, token int, kind string, word string, a string, b string, mark string, settled boolean"
+
+
+def cases(pages: DataFrame, sure: dict[str, int]) -> DataFrame:
+    """(who, and the columns of _CASE) of pages (who, text, title, page): what stands on a page for repair. Settled cases have their
+    outcome in `word`. Others are halves `a` and `b` of a broken word with their mark, or a word that may be misread between
+    its neighbours `a` and `b`."""
+    known = pages.sparkSession.sparkContext.broadcast(sure)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sure = known.value
+        seen: dict[str, tuple[str, bool]] = {}
+        right: set[str] = set()
+        for batch in batches:
+            out: list[tuple] = []
+            for who, (text, title, page) in zip(batch["who"].tolist(), _batches(batch)):
+                if not text:
+                    continue
+                _, words, gone, breaks, running = lines_of(text, title, page)
+                out += [(who, k, -2, "furniture", "", None, None, None, True) for k, g in enumerate(gone) if g]
+                for k, m in breaks:
+                    last = words[k][-1]
+                    whole, halves = broken_case(last.rstrip(BREAKS), words[m][0], last[-1], sure)
+                    if whole:
+                        out.append((who, k, -1, "broken", whole, None, None, None, True))
+                    elif halves:
+                        out.append((who, k, -1, "broken", None, *halves, last[-1], False))
+                for k, lo, hi in running:
+                    ws = words[k]
+                    if right.issuperset(ws):
+                        continue
+                    for j in range(lo, hi):
+                        t = ws[j]
+                        if t in right:
+                            continue
+                        got = seen.get(t) or doubted(t, sure)
+                        if got is None:
+                            right.add(t)
+                            continue
+                        seen[t] = got
+                        w, year = got
+                        out.append((who, k, j, "misread", year_of(w), None, None, None, True) if year else (who, k, j, "misread", w, *neighbours(words, k, j), None, False))
+                if len(seen) + len(right) > 1_000_000:
+                    seen.clear()
+                    right.clear()
+            cols = list(zip(*out)) or [()] * 9
+            names = ("who", "line_no", "token", "kind", "word", "a", "b", "mark", "settled")
+            kinds = {"line_no": "int64", "token": "int32", "settled": "bool"}
+            yield pd.DataFrame({c: pd.Series(list(x), dtype=kinds.get(c, object)) for c, x in zip(names, cols)})
+
+    return pages.mapInPandas(rows, f"who {pages.schema['who'].dataType.simpleString()}, {_CASE}")
+
+
+def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, found, cost, n): the known words that each of `words` (word) may stand for."""
+    asked = materialise(words.distinct().withColumn("m", F.lit(0).cast("long")))
+    listed = materialise(meet(asked, known, edits=False))
+    rest = materialise(asked.join(listed.select("word").distinct(), "word", "left_anti"))  # no listed misreading: other edits too
+    return materialise(listed.unionByName(meet(rest, known, edits=True, most=3)))
+
+
+def _first(found: Column) -> Column:
+    """The most frequent of candidates, then the first by letters."""
+    return F.get(F.array_sort(F.transform(found, lambda x: F.struct((-x["n"]).alias("n"), x["found"].alias("found")))), F.lit(0))["found"]
+
+
+def settled(found: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+    """(who, line_no, token, kind, word): the outcome of `found` cases of `pages` (text) that are repairs."""
+    keys = ["who", "line_no", "token", "kind"]
+    open_ = found.where("NOT settled")
+    misread = open_.where("kind = 'misread'").select(*keys, "word", "a", "b")
+    broken = open_.where("kind = 'broken'").select(*keys, "a", "b", "mark")
+    # words that stand in the vocabulary, or do without signs read into them, are right
+    plain = F.array(F.col("word"), F.regexp_replace("word", r"[!|]+$", ""), F.when(F.col("word").startswith("|"), F.regexp_replace("word", r"^[!|]+", "")))
+    words = misread.select("word").distinct()
+    right = words.select("word", F.explode(F.array_distinct(F.array_compact(plain))).alias("form")).join(known.select(F.col("word").alias("form")), "form", "left_semi")
+    unknown = words.join(right.select("word").distinct(), "word", "left_anti")
+    halves = broken.select("a", "b", "mark").distinct().select("*", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("compound"))
+    for c in ("joined", "compound", "a", "b"):
+        halves = halves.join(known.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    halves = materialise(halves)
+    new = halves.where("n_joined IS NULL AND n_compound IS NULL")
+    got = candidates(unknown.unionByName(new.select(F.explode(F.array("joined", "compound")).alias("word"))), known)
+
+    each = got.groupBy("word").agg(F.min("cost").alias("least"), F.collect_list(F.struct("cost", "found", "n")).alias("all"))
+    least = F.filter("all", lambda x: x["cost"] == F.col("least"))
+    near = F.filter("all", lambda x: x["cost"] <= F.col("least") + 1)
+    each = each.select("word", "least", _first(least).alias("first"), F.when(F.size(least) > 1, least).otherwise(near).alias("pool"))
+    each = materialise(each)
+
+    one, two = each.select(F.col("word").alias("joined"), F.col("least").alias("one"), "first"), each.select(F.col("word").alias("compound"), F.col("least").alias("two"))
+    whole, made = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_compound", F.lit(0))
+    suspended = (F.col("mark") == "-") & F.col("b").isin(*AFTER_SUSPENDED)
+    word = (
+        F.when((whole > 0) | (made > 0), F.when(whole >= made, F.col("joined"))).when(suspended, None)
+        .when(F.col("one").isNotNull() | F.col("two").isNotNull(), F.when(F.coalesce("two", F.lit(99)) >= F.coalesce("one", F.lit(99)), F.col("first")))
+        .when((F.col("mark") == "-") & F.col("n_a").isNotNull() & F.col("n_b").isNotNull(), None).otherwise(F.col("joined"))
+    )
+    halves = halves.join(one, "joined", "left").join(two, "compound", "left").select("a", "b", "mark", word.alias("word"))
+
+    single, several = each.where(F.size("pool") == 1), each.where(F.size("pool") > 1)
+    places = materialise(misread.select("word", "a", "b").distinct().join(several.select("word", "least", F.explode("pool").alias("p")), "word").select("word", "a", "b", "least", "p.*"))
+    pairs = neighbour_counts(pages, places.select(F.explode(F.array(F.struct("a", F.col("found").alias("b")), F.struct(F.col("found").alias("a"), "b"))).alias("x")).select("x.*"))
+    before, after = pairs.select("a", F.col("b").alias("found"), F.col("n").alias("n1")), pairs.select(F.col("a").alias("found"), "b", F.col("n").alias("n2"))
+    fit = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
+    value = F.when((F.col("cost") == F.col("least")) | (fit > 0), fit / (F.col("n") + 1)).otherwise(-1.0)
+    ranked = places.join(before, ["a", "found"], "left").join(after, ["found", "b"], "left").select("word", "a", "b", F.struct((-value).alias("v"), (-F.col("n")).alias("n"), "cost", "found").alias("r"))
+    best = ranked.groupBy("word", "a", "b").agg(F.min("r").alias("r")).select("word", "a", "b", F.col("r.found").alias("best"))
+
+    return (
+        found.where("settled").select(*keys, "word")
+        .unionByName(broken.join(halves.where("word IS NOT NULL"), ["a", "b", "mark"]).select(*keys, "word"))
+        .unionByName(misread.join(single.select("word", "first"), "word").select(*keys, F.col("first").alias("word")))
+        .unionByName(misread.join(best, ["word", "a", "b"]).select(*keys, F.col("best").alias("word")))
+    )
 
 
 def put_right(token: str, word: str) -> str:
@@ -342,9 +397,13 @@ def put_right(token: str, word: str) -> str:
     return token[:a] + new + token[a + len(core) :]
 
 
-def reflowed(found: tuple, text: str) -> str:
-    """The page as paragraphs separated by empty lines."""
-    lines, words, out, broken, continued, glued, right = found
+def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple[int, int], str]) -> str:
+    """The page as paragraphs separated by empty lines, with its `repairs` by line and token, -1 for a broken word."""
+    lines, words, out, breaks, _ = lines_of(text, title, page)
+    broken = {k: repairs[k, -1] for k, _ in breaks if (k, -1) in repairs}
+    continued = {m: k for k, m in breaks if k in broken}
+    glued = {m for k, m in breaks if k not in broken and words[m][0].strip(AROUND).lower() not in AFTER_SUSPENDED}
+    right = {k: w for k, w in repairs.items() if k[1] >= 0}
     if not any(out) and not broken and not right:
         return text
     paragraphs: list[list[str]] = [[]]
@@ -427,103 +486,81 @@ def word_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
 def learn(pages: DataFrame, text_col: str = "text") -> Vocabulary:
     """The vocabulary of all pages."""
-    from leafmill.session import materialise
-
-    spark = pages.sparkSession
-    counts = materialise(word_counts(pages, text_col))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, -(-total // MAX_WORDS))
-    frequent = counts.where((F.col("n") >= least) & F.length("word").between(1, 60))
-    seen = {r.word: r.n for r in frequent.toLocalIterator() if _KNOWN.fullmatch(r.word) and year_of(r.word) is None}
-    everything = spark.sparkContext.broadcast(Vocabulary(seen))
-
-    def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = everything.value
+
+    def valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [w for w in b["word"] if w in v.counts]
-            q, w, _ = automaton.candidates(words, v.trie, costs(words), edits=False)
-            bad = set()
-            for a, c in zip(q.tolist(), w.tolist()):
-                mine, other = words[a], v.trie.words[c]
-                ratio = RATIO if _PLAIN.fullmatch(mine) else RATIO_ODD
-                if other != mine and _PLAIN.fullmatch(other) and v.counts[other] >= ratio * v.counts[mine]:
-                    bad.add(mine)
-            yield pd.DataFrame({"word": list(bad)}, dtype=object)
-
-    misread = {r.word for r in frequent.select("word").mapInPandas(doubtful, "word string").toLocalIterator()}
-    good = {w: n for w, n in seen.items() if w not in misread}
-    everything.unpersist()
-    return Vocabulary(good, neighbour_counts(pages, good, text_col))
+            yield b[[bool(_KNOWN.fullmatch(w)) and year_of(w) is None for w in b["word"]]]
+
+    def doubtful(mine: str, m: int, other: str, n: int) -> bool:
+        return other != mine and _PLAIN.fullmatch(other) is not None and n >= (RATIO if _PLAIN.fullmatch(mine) else RATIO_ODD) * m
+
+    counts = word_counts(pages, text_col).where((F.col("n") >= LEAST) & F.length("word").between(1, 60))
+    seen = materialise(counts.mapInPandas(valid, "word string, n long"))
+    misread = meet(seen.withColumnRenamed("n", "m"), seen, edits=False, keep=doubtful).select("word").distinct()
+    return Vocabulary(materialise(seen.join(misread, "word", "left_anti")))
 
 
 def mistakable(words: dict[str, int]) -> set[str]:
-    """Words for which one misread form can stand for another word too."""
+    """Words for which one misread form can stand for another word too; for small vocabularies."""
     trie = automaton.Trie.of(list(words))
     q, w, cost = automaton.candidates(trie.words, trie, costs(trie.words), edits=False)
     return {trie.words[x] for a, b in zip(q.tolist(), w.tolist()) if a != b for x in (a, b)}
 
 
-def neighbour_counts(pages: DataFrame, words: dict[str, int], text_col: str = "text") -> dict[tuple[str, str], int]:
-    """How often a mistakable word follows or precedes another known word; both are vocabulary words, and pairs seen once are left
-    out."""
-    wanted = mistakable(words)
-    if not wanted:
-        return {}
-    known = pages.sparkSession.sparkContext.broadcast((wanted, frozenset(words)))
+def neighbour_counts(pages: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, n): how often `b` follows `a`, for the `wanted` pairs (a, b); pairs seen once are left out."""
+    wanted = materialise(wanted.where("a <> '' AND b <> ''").distinct())
+    few = [(r.a, r.b) for r in wanted.limit(HOT + 1).collect()]
+    mine = pages.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= HOT else None)  # too many: all pairs meet in the join
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, every = known.value
+        only = mine.value
         pairs: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> pd.DataFrame:
+            got = pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype=object), "b": pd.Series([b for _, b in pairs], dtype=object), "n": pd.Series(list(pairs.values()), dtype="int64")})
+            pairs.clear()
+            return got
+
         for b in batches:
             for t in b["text"]:
                 ws = t.lower().split() if t else []
-                for k, w in enumerate(ws):
-                    if w in mine:
-                        if k and ws[k - 1] in every:
-                            pairs[ws[k - 1], w] += 1
-                        if k + 1 < len(ws) and ws[k + 1] in every:
-                            pairs[w, ws[k + 1]] += 1
-        yield pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype=object), "b": pd.Series([b for _, b in pairs], dtype=object), "n": pd.Series(list(pairs.values()), dtype="int64")})
+                pairs.update(p for p in zip(ws, ws[1:]) if only is None or p in only)
+                if len(pairs) > 300_000:
+                    yield flush()
+        yield flush()
 
     got = pages.select(F.col(text_col).alias("text")).mapInPandas(count, "a string, b string, n long")
-    total = got.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-    return {(r.a, r.b): r.n for r in total.orderBy(F.desc("n"), "a", "b").limit(MAX_WORDS).toLocalIterator()}
+    return got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _batches(b: pd.DataFrame) -> list[tuple[str | None, str | None, int | None]]:
     return [(t, s, None if pd.isna(p) else int(p)) for t, s, p in zip(b["text"], b["title"], b["page"])]
 
 
-def repairs(pages: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "id", text_col: str = "text", title_col: str = "doc_title", page_col: str = "page") -> DataFrame:
-    """(id, line_no, kind, repaired): every repair, once."""
-    known = pages.sparkSession.sparkContext.broadcast(vocabulary or learn(pages, text_col))
+def _found(pages: DataFrame, who: Column, vocabulary: Vocabulary | None, text_col: str, title_col: str, page_col: str) -> DataFrame:
+    known = vocabulary or learn(pages, text_col)
+    cols = pages.select(who.alias("who"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(page_col).alias("page"))
+    return settled(materialise(cases(cols, known.hot())), known.words, cols)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, out = b["id"].tolist(), []
-            for n, (_, _, gone, broken, _, _, right) in findings(_batches(b), known.value):
-                out += [(ids[n], k, "furniture", "") for k, g in enumerate(gone) if g]
-                out += [(ids[n], k, "broken", w) for k, w in broken.items()]
-                out += [(ids[n], k, "misread", w) for k, w in sorted({(k, w) for (k, _), w in right.items()})]
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pd.DataFrame({c: pd.Series(list(x), dtype="int64" if c == "line_no" else object) for c, x in zip(("id", "line_no", "kind", "repaired"), cols)})
 
-    cols = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(page_col).alias("page"))
-    found = cols.mapInPandas(rows, f"id {pages.schema[id_col].dataType.simpleString()}, line_no long, kind string, repaired string")
-    return found.distinct()
+def repairs(pages: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "id", text_col: str = "text", title_col: str = "doc_title", page_col: str = "page") -> DataFrame:
+    """(id, line_no, kind, repaired): every repair, once."""
+    found = _found(pages, F.col(id_col), vocabulary, text_col, title_col, page_col)
+    return found.select(F.col("who").alias("id"), "line_no", "kind", F.col("word").alias("repaired")).distinct()
 
 
 def repaired(pages: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", title_col: str = "doc_title", page_col: str = "page") -> DataFrame:
     """`pages` with the text of scanned pages repaired and reflowed."""
-    known = pages.sparkSession.sparkContext.broadcast(vocabulary or learn(pages, text_col))
+    same = [F.col(text_col), F.col(title_col), F.col(page_col)]
+    who = F.concat_ws(" ", F.hex(F.xxhash64(*same)), F.hex(F.xxhash64(F.lit(1), *same)))  # pages that are alike are repaired alike
+    found = _found(pages, who, vocabulary, text_col, title_col, page_col)
+    each = found.groupBy("who").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("__repairs"))
 
     @F.pandas_udf("string")
-    def fix(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, title, page in batches:
-            b = pd.DataFrame({"text": text, "title": title, "page": page})
-            out = text.tolist()
-            for n, found in findings(_batches(b), known.value):
-                out[n] = reflowed(found, out[n])
-            yield pd.Series(out, dtype=object)
-
-    return pages.withColumn(text_col, fix(F.col(text_col), F.col(title_col), F.col(page_col)))
+    def fix(text: pd.Series, title: pd.Series, page: pd.Series, repairs: pd.Series) -> pd.Series:
+        b = pd.DataFrame({"text": text, "title": title, "page": page})
+        return pd.Series([t if r is None else reflowed(t, s, p, {(x["line_no"], x["token"]): x["word"] for x in r}) for (t, s, p), r in zip(_batches(b), repairs)], dtype=object)
+
+    rows = pages.withColumn("who", who).join(each, "who", "left")
+    return rows.withColumn(text_col, F.when(F.col("__repairs").isNull(), F.col(text_col)).otherwise(fix(*same, F.col("__repairs")))).select(*pages.columns)

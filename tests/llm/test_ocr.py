@@ -103,3 +103,17 @@ def test_neighbours_decide_between_candidates(spark):
 
 def test_put_right_keeps_case_and_marks():
     assert ocr.put_right("(Con5urner)", "consumer") == "(Consumer)" and ocr.put_right("C0UNTY,", "county") == "COUNTY," and ocr.put_right("c0unty", "county") == "county"
+
+
+def test_one_rule_for_known_words_at_every_size(spark):
+    rows = [(f"f{i}", "t", i, "the river " * 60_000) for i in range(20)] + [("a", "t", 1, "the lantern " * ocr.LEAST), ("b", "t", 2, "the lantcrn river")]
+    df = spark.createDataFrame(rows, "id string, doc_title string, page int, text string")
+    assert [tuple(r) for r in ocr.repairs(df).collect()] == [("b", 0, "misread", "lantern")]
+
+
+def test_size_of_shards_and_hot_words_does_not_matter(spark, pages, monkeypatch):
+    want = {tuple(r) for r in ocr.repairs(pages).collect()}
+    monkeypatch.setattr(ocr, "SHARD", 7)
+    monkeypatch.setattr(ocr, "QUERIES", 2)
+    monkeypatch.setattr(ocr, "HOT", 3)
+    assert {tuple(r) for r in ocr.repairs(pages).collect()} == want and len(want) == 9
