@@ -51,7 +51,6 @@ _INSIDE = re.compile(r"[;:,()\[\]{}\"/\\=<>]")
 _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _KNOWN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _DIGITS = str.maketrans("oOlI|i!sS$bBgqzZ", "0011111555689922")
-_ROMAN = re.compile(r"[ivxlcdm]+")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _LABEL = re.compile(r"(?:vol\W|no\W|nr\W|issue\W|part\W).*[\divxl]", re.I)
 _FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("ci", "d"), ("fi", "d"), ("ii", "u"), ("h", "u"), ("mm", "m")]
@@ -73,6 +72,15 @@ def roman(n: int) -> str:
     return out
 
 
+_DIGIT_OF = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def is_roman(word: str) -> bool:
+    """Whether `word` is a well-formed roman number."""
+    v = [_DIGIT_OF.get(c, 0) for c in word]
+    return bool(v) and all(v) and len(v) < 20 and roman(sum(-a if a < b else a for a, b in zip(v, v[1:] + [0]))) == word
+
+
 def year_of(word: str) -> str | None:
     """The year that `word` is a misreading of."""
     if len(word) == 4 and word[0] in "12lI|" and not word.isdigit() and sum(c.isdigit() for c in word) >= 2:
@@ -254,7 +262,7 @@ def doubted(token: str, sure: dict[str, int]) -> tuple[str, bool] | None:
         return None
     if year_of(w):
         return w, True
-    return None if len(w) < 3 and w.isalpha() or _ROMAN.fullmatch(w) else (w, False)
+    return None if len(w) < 3 and w.isalpha() or is_roman(w) else (w, False)
 
 
 def broken_case(left: str, right: str, mark: str, sure: dict[str, int]) -> tuple[str | None, tuple[str, str] | None]:

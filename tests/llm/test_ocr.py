@@ -117,3 +117,9 @@ def test_size_of_shards_and_hot_words_does_not_matter(spark, pages, monkeypatch)
     monkeypatch.setattr(ocr, "QUERIES", 2)
     monkeypatch.setattr(ocr, "HOT", 3)
     assert {tuple(r) for r in ocr.repairs(pages).collect()} == want and len(want) == 9
+
+
+def test_only_well_formed_roman_numbers_are_passed_over():
+    assert all(ocr.is_roman(ocr.roman(n)) for n in range(1, 4000))
+    assert not any(ocr.is_roman(w) for w in ("", "vvill", "clvil", "clid", "mlld", "iix", "x1"))
+    assert ocr.doubted("vvill", {}) == ("vvill", False) and ocr.doubted("xviii", {}) is None
