@@ -213,9 +213,8 @@ def costs(words: list[str]) -> np.ndarray:
     return np.array([1 if len(w) < 3 else 2 if len(w) < 5 else 3 if len(w) < 9 else 4 for w in words], np.int64)
 
 
-def meet(asked: DataFrame, known: DataFrame, edits: bool, most: int = 4, keep: Callable[[str, int, str, int], bool] | None = None) -> DataFrame:
-    """(word, found, cost, n): the known words (word, n) within the cost of each of `asked` (word, m), a cost of `most` at the most; `keep`
-    judges (word, m, found, n). Both are read more than once."""
+def meet(asked: DataFrame, known: DataFrame, edits: bool, keep: Callable[[str, int, str, int], bool] | None = None) -> DataFrame:
+    """(word, found, cost, n): the known words (word, n) within the cost of each of `asked` (word, m); `keep` judges (word, m, found, n). Both are read more than once."""
     shards = max(1, -(-known.count() // SHARD))
     blocks = max(-(-asked.count() // QUERIES), -(-3 * known.sparkSession.sparkContext.defaultParallelism // shards))
 
@@ -224,16 +223,20 @@ def meet(asked: DataFrame, known: DataFrame, edits: bool, most: int = 4, keep: C
         if len(mine) and len(theirs):
             words, n = mine["word"].tolist(), dict(zip(theirs["found"], theirs["k"]))
             trie = automaton.Trie.of(list(n))
-            q, w, cost = automaton.candidates(words, trie, np.minimum(costs(words), most), edits)
+            q, w, cost = automaton.candidates(words, trie, costs(words), edits)
+            listed = set(zip(*(x.tolist() for x in automaton.candidates(words, trie, costs(words), False)[:2]))) if edits else None
             m = mine["m"].tolist()
-            rows = [(words[a], x, c, n[x]) for a, c, x in zip(q.tolist(), cost.tolist(), [trie.words[b] for b in w.tolist()]) if keep is None or keep(words[a], m[a], x, n[x])]
-        return pd.DataFrame(rows, columns=["word", "found", "cost", "n"])
+            for a, b, c in zip(q.tolist(), w.tolist(), cost.tolist()):
+                x = trie.words[b]
+                if keep is None or keep(words[a], m[a], x, n[x]):
+                    rows.append((words[a], x, c, n[x], listed is None or (a, b) in listed))
+        return pd.DataFrame(rows, columns=["word", "found", "cost", "n", "listed"])
 
     part = lambda k: F.pmod(F.xxhash64("word"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = asked.select("word", "m", part(blocks).alias("b"), every(shards).alias("s")).repartition(shards * blocks, "s", "b")
     right = known.select(F.col("word").alias("found"), F.col("n").alias("k"), part(shards).alias("s"), every(blocks).alias("b")).repartition(shards * blocks, "s", "b")
-    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, "word string, found string, cost int, n long")
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, "word string, found string, cost int, n long, listed boolean")
 
 
 def lines_of(text: str, title: str | None, page: int | None) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
@@ -330,11 +333,9 @@ def cases(pages: DataFrame, sure: dict[str, int]) -> DataFrame:
 
 
 def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, found, cost, n): the known words that each of `words` (word) may stand for."""
+    """(word, found, cost, n, listed): the known words that each of `words` (word) may stand for."""
     asked = materialise(words.distinct().withColumn("m", F.lit(0).cast("long")))
-    listed = materialise(meet(asked, known, edits=False))
-    rest = materialise(asked.join(listed.select("word").distinct(), "word", "left_anti"))  # no listed misreading: other edits too
-    return materialise(listed.unionByName(meet(rest, known, edits=True, most=3)))
+    return materialise(meet(asked, known, edits=True))
 
 
 def _first(found: Column) -> Column:
@@ -360,9 +361,10 @@ def settled(found: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
     new = halves.where("n_joined IS NULL AND n_compound IS NULL")
     got = candidates(unknown.unionByName(new.select(F.explode(F.array("joined", "compound")).alias("word"))), known)
 
-    each = got.groupBy("word").agg(F.min("cost").alias("least"), F.collect_list(F.struct("cost", "found", "n")).alias("all"))
+    each = got.groupBy("word").agg(F.min("cost").alias("least"), F.collect_list(F.struct("cost", "found", "n", "listed")).alias("all"))
     least = F.filter("all", lambda x: x["cost"] == F.col("least"))
-    near = F.filter("all", lambda x: x["cost"] <= F.col("least") + 1)
+    # a dearer candidate is weighed only as a misreading: one plain edit leads to many words
+    near = F.filter("all", lambda x: (x["cost"] == F.col("least")) | (x["cost"] == F.col("least") + 1) & x["listed"])
     each = each.select("word", "least", _first(least).alias("first"), F.when(F.size(least) > 1, least).otherwise(near).alias("pool"))
     each = materialise(each)
 

@@ -123,3 +123,10 @@ def test_only_well_formed_roman_numbers_are_passed_over():
     assert all(ocr.is_roman(ocr.roman(n)) for n in range(1, 4000))
     assert not any(ocr.is_roman(w) for w in ("", "vvill", "clvil", "clid", "mlld", "iix", "x1"))
     assert ocr.doubted("vvill", {}) == ("vvill", False) and ocr.doubted("xviii", {}) is None
+
+
+def test_all_edits_within_the_cost_are_looked_for(spark):
+    known = spark.createDataFrame([("programme", 9), ("clan", 9), ("deal", 9)], "word string, n long")
+    got = {(r.word, r.found): (r.cost, r.listed) for r in ocr.candidates(spark.createDataFrame([("pxogrzmme",), ("cian",), ("ctian",)], "word string"), known).collect()}
+    assert got[("pxogrzmme", "programme")] == (4, False)  # two plain edits
+    assert got[("cian", "clan")] == (1, True) and got[("ctian", "clan")] == (3, False)
