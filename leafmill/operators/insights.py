@@ -78,18 +78,20 @@ def definitions(pages: DataFrame, order: list[str], text: str = "text") -> DataF
     return best.select("m.term", "m.definition", *[f"m.{c}" for c in order])
 
 
-def matching_definitions(selections: DataFrame, key: str, text: str, glossary: DataFrame, most: int = 6) -> DataFrame:
-    """(key, term, definition): glossary terms that stand in a selection, as text or with all their tokens; the first `most` of each.
+def matching_definitions(selections: DataFrame, key: str, text: str, glossary: DataFrame, most: int = 6, order: tuple[str, ...] = ("term",)) -> DataFrame:
+    """(key, term, definition, and other columns of `order`): glossary terms that stand in a selection, as text or with all their tokens; the
+    first `most` of each in the order of `order`.
 
     Candidates meet on shared keys, not pair by pair: the first three characters of a term stand somewhere in a selection that contains
     it, and its first token is among the tokens of one that has them all."""
     low = F.lower("term")
     keys = F.array(F.concat(F.lit("c:"), F.substring(low, 1, 3)), F.concat(F.lit("t:"), F.get(tokens(F.col("term")), F.lit(0))))
-    terms = glossary.where("term <> ''").select("term", "definition", low.alias("low"), tokens(F.col("term")).alias("tt"), F.explode(F.array_compact(keys)).alias("anchor"))
+    more = [c for c in order if c != "term"]
+    terms = glossary.where("term <> ''").select("term", "definition", *more, low.alias("low"), tokens(F.col("term")).alias("tt"), F.explode(F.array_compact(keys)).alias("anchor"))
     said = F.lower(F.col(text))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(said), F.lit(1))), lambda i: F.concat(F.lit("c:"), F.substring(said, i, F.lit(n))))
     named = F.transform(tokens(F.col(text)), lambda t: F.concat(F.lit("t:"), t))
     mine = selections.select(F.col(key), said.alias("sel"), tokens(F.col(text)).alias("st"), F.explode(F.array_distinct(F.concat(grams(3), grams(2), named))).alias("anchor"))
     hit = mine.join(terms, "anchor").where(F.col("sel").contains(F.col("low")) | ((F.size("tt") > 0) & (F.size(F.array_except("tt", "st")) == 0)))
-    once = hit.select(key, "term", "definition").distinct()
-    return once.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("term"))).where(F.col("r") <= most).drop("r")
+    once = hit.select(key, "term", "definition", *more).distinct()
+    return once.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order, "term"))).where(F.col("r") <= most).drop("r")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import answers, changefeed, notebook, retrieval, telemetry, web
+from leafmill.operators import answers, changefeed, insights, notebook, retrieval, telemetry, web
 from leafmill.operators.running import running
 from leafmill.plans.general import _STATE_SQL
 from leafmill.plans.reading import sql_excerpt, sql_sentences, sql_squash, sql_tokens
@@ -356,20 +356,35 @@ def session_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @NOTES.query("extractive_answers")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every request whose number is divisible by 20: an answer quoted from the five best pages, its own left out, and the web references of
-    its page's notes."""
-    pages = table(spark, sf_dir, "chunks")
+    """For every request whose number is divisible by 20: an answer quoted from the defined terms in its selection, the five best pages, its
+    own left out, and, where it asks for the web, the web references of its page's notes."""
     stated = table(spark, sf_dir, "generate_requests").where(F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % 20 == 0)
+    return extracted(stated, table(spark, sf_dir, "chunks"), _stored(spark, sf_dir))
+
+
+def extracted(stated: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame:
+    """(request_id, answer) of requests over pages and notes, each note once."""
     asked = retrieval.query_terms(stated, "request_id", "selection")
     own = stated.select(F.col("request_id").alias("query"), F.col("chunk_id").alias("page"))
     top = retrieval.best(retrieval.scores(retrieval.build(pages, "id", "text"), asked).join(own, ["query", "page"], "left_anti"), 5)
     texts = pages.select(F.col("id").alias("page"), "doc_short", F.col("page").alias("page_no"), "text")
     passages = top.join(texts, "page").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_short", F.col("page_no").alias("page"), "text"))).alias("passages"))  # five at most
-    rows = stated.join(passages.withColumnRenamed("query", "request_id"), "request_id", "left")
-    none = F.array().cast("array<struct<rank:int,doc_short:string,page:int,text:string>>")
-    no_terms = F.array().cast("array<struct<term:string,definition:string,doc_short:string,page:int>>")
-    no_web = F.array().cast("array<struct<title:string,url:string,snippet:string,domain:string,tier_label:string>>")
-    text = answers.answer(F.col("mode"), F.coalesce("selection", F.lit("")), F.coalesce("passages", none), no_terms, no_web, F.lit("model switched off"))
+
+    glossary = insights.definitions(pages, ["doc", "page", "id", "doc_short"])
+    matching = insights.matching_definitions(stated, "request_id", "selection", glossary, 6, ("doc", "page", "id", "doc_short"))
+    terms = matching.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("doc", F.col("page").alias("page"), "id", "term", "definition", "doc_short"))).alias("terms"))  # six at most
+
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    wanted = stated.where("web").select("request_id", trimmed("chunk_id").alias("query"))
+    cited = notes.select(trimmed("chunk_id").alias("query"), "id", F.posexplode(notebook.one_array(F.col("web"), "title STRING, url STRING")).alias("i", "r"))
+    cited = cited.join(wanted.select("query").distinct(), "query", "left_semi").select("query", F.lit(0).alias("provider_no"), "id", "i", "r.title", "r.url", F.lit("").alias("snippet"))
+    order = F.row_number().over(W.partitionBy("query").orderBy("id", "i"))
+    best = web.ranked(cited.withColumn("pos", order - 1), 4).join(wanted, "query")
+    results = best.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", F.lit("").alias("snippet"), "domain", "tier_label"))).alias("results"))  # four at most
+
+    rows = stated.join(passages.withColumnRenamed("query", "request_id"), "request_id", "left").join(terms, "request_id", "left").join(results, "request_id", "left")
+    held = lambda df, c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType))
+    text = answers.answer(F.col("mode"), F.coalesce("selection", F.lit("")), held(passages, "passages"), held(terms, "terms"), held(results, "results"), F.lit("model switched off"))
     return rows.select("request_id", text.alias("answer"))
 
 
