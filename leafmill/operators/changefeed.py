@@ -43,9 +43,9 @@ def _whole(raw: Column, payload: Column, name: str) -> Column:
     )
 
 
-def read_changes(feed: DataFrame, wide: bool = False) -> DataFrame:
-    """(note_id, version, is_delete, seq[, payload]) of the readable changes in `feed`; a repeated message
-    counts once, at its lowest seq."""
+def read_messages(feed: DataFrame, wide: bool = False) -> DataFrame:
+    """(msg, seq, note_id, version, is_delete[, payload]) of the readable messages in `feed`, with or without a version; a repeated
+    message counts once, at its lowest seq."""
     kind = F.lower(F.regexp_replace("type", r"(?U)^\s+|\s+$", ""))
     body = one_object(F.col("payload"), "id: STRING, updated_at: STRING, ts: STRING")
     parsed = (
@@ -66,8 +66,19 @@ def read_changes(feed: DataFrame, wide: bool = False) -> DataFrame:
             *(["payload"] if wide else []),
         )
     )
-    first = F.min(F.struct("seq", "note_id", "version", "is_delete", *(["payload"] if wide else []))).alias("m")
-    return parsed.groupBy("msg").agg(first).select("m.*").where("version IS NOT NULL")
+    return lowest(parsed)
+
+
+def lowest(messages: DataFrame) -> DataFrame:
+    """Each message once, at its lowest seq."""
+    rest = [c for c in ("note_id", "version", "is_delete", "payload") if c in messages.columns]
+    return messages.groupBy("msg").agg(F.min(F.struct("seq", *rest)).alias("m")).select("msg", "m.*")
+
+
+def read_changes(feed: DataFrame, wide: bool = False) -> DataFrame:
+    """(seq, note_id, version, is_delete[, payload]) of the readable changes in `feed`; a repeated message
+    counts once, at its lowest seq."""
+    return read_messages(feed, wide).drop("msg").where("version IS NOT NULL")
 
 
 def base_rows(notes: DataFrame, tombstones: DataFrame, payload: Column | None = None) -> DataFrame:

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.changefeed import fold, one_object, read_changes
+from leafmill.operators.changefeed import fold, lowest, one_object, read_messages
 from leafmill.operators.delivery import message_key
 
 
-def once(stream: DataFrame, identifier: str, at: str, kept: str = "7 days") -> DataFrame:
-    """The stream without repeated messages; identifiers are remembered for `kept` of event time, and late rows beyond it are dropped."""
+def once(stream: DataFrame, identifier: str, at: str, kept: str | None = None) -> DataFrame:
+    """The stream without repeated messages; rows without an identifier are no repeats of each other. All identifiers are remembered, however
+    late a row is; with `kept` only for so long in event time, and rows later than that are dropped."""
     marked = stream.withColumn("message_key", message_key(F.col(identifier)))
-    return marked.withWatermark(at, kept).dropDuplicatesWithinWatermark(["message_key"]).drop("message_key")
+    if kept:
+        marked = marked.withWatermark(at, kept)
+    named, unnamed = marked.where("message_key IS NOT NULL"), marked.where("message_key IS NULL")
+    first = named.dropDuplicatesWithinWatermark(["message_key"]) if kept else named.dropDuplicates(["message_key"])
+    return first.unionByName(unnamed).drop("message_key")
 
 
 def readable(payload: str = "payload") -> Column:
@@ -24,12 +29,20 @@ def readable(payload: str = "payload") -> Column:
 
 def apply_batch(spark: SparkSession, folder: str, dead: str | None = None, most_attempts: int = 5) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch: folds a batch of the feed into the state table in `folder`, one snapshot per batch, and writes rows that cannot
-    be read or were tried too often to `dead`. A batch that is run again overwrites its own snapshot."""
+    be read or were tried too often to `dead`. A batch that is run again overwrites its own snapshot. The messages themselves are kept beside the
+    state, so a repeated message counts once, at its lowest seq, in whichever batches its copies come; a state from elsewhere counts as base."""
 
     def run(batch: DataFrame, number: int) -> None:
-        state = latest(spark, folder, before=number)
-        changes = read_changes(batch)
-        new = fold(changes) if state is None else fold(state, changes)
+        messages = read_messages(batch)
+        before = latest(spark, folder, number, "messages")
+        if before is None:
+            state = latest(spark, folder, number)
+            before = None if state is None else state.withColumn("msg", F.concat(F.lit("\x01"), F.col("note_id")))
+        if before is not None:
+            messages = lowest(messages.unionByName(before))
+        kept = f"{folder}/messages={number:012d}"
+        messages.write.mode("overwrite").parquet(kept)
+        new = fold(spark.read.parquet(kept).where("version IS NOT NULL").drop("msg").select("note_id", "version", "is_delete", "seq"))
         new.write.mode("overwrite").parquet(f"{folder}/batch={number:012d}")
         if dead:
             bad = batch.where(~readable() | (F.coalesce("attempts", F.lit(0)) >= most_attempts))
@@ -38,13 +51,13 @@ def apply_batch(spark: SparkSession, folder: str, dead: str | None = None, most_
     return run
 
 
-def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest state below batch `before`."""
+def latest(spark: SparkSession, folder: str, before: int | None = None, kind: str = "batch") -> DataFrame | None:
+    """The newest state, or messages, below batch `before`."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     names = sorted(s.getPath().getName() for s in fs.listStatus(path))
-    numbers = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    numbers = [int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
     numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{folder}/batch={numbers[-1]:012d}") if numbers else None
+    return spark.read.parquet(f"{folder}/{kind}={numbers[-1]:012d}") if numbers else None

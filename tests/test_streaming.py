@@ -68,3 +68,23 @@ def test_state_table_follows_the_feed(spark, tmp_path):
     assert {tuple(r) for r in notes.latest(spark, state).collect()} == {tuple(r) for r in want.collect()}
     assert spark.read.parquet(dead).count() == sum(p == "{" or a >= 5 for *_, p, a in rows)
     assert notes.latest(spark, str(tmp_path / "nowhere")) is None
+
+
+def test_rows_without_identifier_and_late_rows_stay(spark, tmp_path):
+    rows = [(None, 0), ("a", 0), (None, 1), ("b", 90 * 86400), ("A", 90 * 86400), ("c", 5)]
+    stream = events_of(spark, tmp_path, rows, "id string, n long").withColumn("at", F.timestamp_seconds("n"))
+    got = run_stream(spark, notes.once(stream, "id", "at"), tmp_path, "once_late")
+    assert sorted((r.id or "").lower() for r in got) == ["", "", "a", "b", "c"]
+
+
+def test_messages_repeated_in_later_batches_count_once(spark, tmp_path):
+    change = lambda v, i="n": json.dumps({"id": i, "updated_at": v})
+    schema = "seq long, event_id string, type string, payload string, attempts int"
+    up = "note.upserted"
+    rows = [(5, "a", up, change(1), 0), (6, "b", up, change(1), 0), (9, "A", up, change(1), 0), (8, "z", up, change(3, "m"), 0), (7, "c", up, change(2, "m"), 0), (3, "Z", up, change(1, "m"), 0)]
+    apply = notes.apply_batch(spark, str(tmp_path / "state"))
+    for n in range(3):
+        apply(spark.createDataFrame(rows[2 * n : 2 * n + 2], schema), n)
+    want = changefeed.fold(changefeed.read_changes(spark.createDataFrame(rows, schema)))
+    got = {(r.note_id, r.version, r.seq) for r in notes.latest(spark, str(tmp_path / "state")).collect()}
+    assert got == {(r.note_id, r.version, r.seq) for r in want.collect()} == {("n", 1, 6), ("m", 2, 7)}
