@@ -45,23 +45,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and go on from its files: the plan is computed once,
-    the files are compressed, and they survive the loss of executors. They are removed when the program ends."""
+    the files are compressed, and they survive the loss of executors. They are removed by `drop`, or when the program ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+def drop(*tables: DataFrame) -> None:
+    """Remove materialised tables that no further result reads."""
+    for t in tables:
+        path = t.written_at
+        _delete(_WRITTEN.pop(path), path)
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its folder goes with it or is swept by its owner
-            return
+    for path, spark in list(_WRITTEN.items()):
+        if spark.sparkContext._jsc is not None:  # a session that has ended leaves its folder to its owner
+            _delete(spark, path)
