@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
-from leafmill.llm import spans
+from leafmill.llm import bloom, spans
 
 
 def brute(rows, k):
@@ -73,3 +75,39 @@ def test_same_id_null_id_empty(spark):
 def test_batches_keep_all_parts():
     b = pa.RecordBatch.from_pydict({"rec": ["a", "b"], "text": ["x" * 10, "y" * 10]})
     assert [p for _, _, ps in spans._batches(iter([b]), 4) for p in ps] == ["x" * 10, "y" * 10]
+
+
+def _mixed(seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    hot = word(90)
+    return [(i if i % 5 else None, word(rng.randint(0, 90)) + (hot[rng.randint(0, 20) : rng.randint(50, 90)] if i % 3 == 0 else "") + word(30)) for i in range(45)]
+
+
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 5])
+def test_an_index_larger_than_a_filter(spark, monkeypatch, bits):
+    """In several ranges, and in more than are worth passes: the same result."""
+    monkeypatch.setattr(bloom, "MOST_BITS", bits)
+    rows = _mixed(4)
+    blocks = sum(max(0, len(t)) // 15 for _, t in rows)
+    assert (bloom.ranges_for(blocks) > spans.MOST_RANGES) == (bits == 1 << 5) and bloom.ranges_for(blocks) > 1
+    assert run(spark, rows, 30) == brute(rows, 30)
+
+
+def test_several_texts_of_one_record(spark):
+    rows = [(1, "ab" * 40), (1, "xy" * 40), (None, "xy" * 30), (None, "ab" * 30), (None, "q" * 50), (2, "q" * 50), (2, "q" * 50)]
+    got = run(spark, rows, 30)
+    assert got == {1: 160, 2: 50}
+
+
+def test_filter_lets_its_own_values_through(spark):
+    values = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)]
+    df = spark.createDataFrame([(v,) for v in values], "h long")
+    got = bloom.build(df, len(values)).value
+    assert len(bloom.passes(got, np.array(values).view(np.uint64))) == len(values)
+    others = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 100_000).view(np.uint64)
+    assert len(bloom.passes(got, others)) < 2500
+    parts = [bloom.passes(got, np.array(values).view(np.uint64), r, 3) for r in range(3)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(values)))
+    for r in range(3):
+        assert df.where(bloom.in_range(df.h, r, 3)).count() == len(parts[r])
