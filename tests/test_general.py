@@ -147,15 +147,15 @@ def test_current_notebook_keeps_deletions_out(spark):
     assert [(r.note_id, r.version, r.decided_by, r.doc, r.page) for r in got] == [("a", 6, 3, "q", 2)]
 
 
-@pytest.mark.parametrize("max_masks", [delivery.MAX_BROADCAST_MASKS, 1])
-def test_one_row_per_message(spark, tmp_path, max_masks):
+@pytest.mark.parametrize("most", [delivery.MAX_BITSETS, 1])
+def test_one_row_per_message(spark, tmp_path, most):
     rng = random.Random(1)
     ids = ["AB-C", "abc", None, "", "hot", "HOT", *[f"m{i}" for i in range(40)]]
     rows = [(i if i % 50 else None, rng.choice(ids), "wide" * 3, i) for i in range(1, 700)]
     path = str(tmp_path / "t.parquet")
     spark.createDataFrame(rows, "n long, id string, dv_key string, dv_file int").repartition(5).write.parquet(path)
-    kept = delivery.one_row_per_message(spark, path, "id", "n", max_masks)
-    gone = delivery.surplus_rows(spark, path, "id", "n", max_masks)
+    kept = delivery.one_row_per_message(spark, path, "id", "n", most)
+    gone = delivery.surplus_rows(spark, path, "id", "n", most)
     assert kept.columns == gone.columns == ["n", "id", "dv_key", "dv_file"]
     k, g = kept.collect(), gone.collect()
     assert sorted(r.dv_file for r in k + g) == list(range(1, 700))
@@ -167,6 +167,29 @@ def test_one_row_per_message(spark, tmp_path, max_masks):
     named = [r for r in k if r.id is not None]
     assert {(r.id.lower().replace("-", ""), r.n) for r in named} == {(key, None if v[0] else v[1]) for key, v in first.items()} and len(named) == len(first)
     assert all(r.id is not None for r in g)
+    delivery.write_one_row_per_message(spark, path, "id", "n", str(tmp_path / "out.parquet"), most)
+    assert spark.read.parquet(str(tmp_path / "out.parquet")).count() == len(k)
+
+
+def test_one_file_of_more_rows_than_a_broadcast_holds(spark, tmp_path):
+    path = str(tmp_path / "big.parquet")
+    n = 5 * delivery.CHUNK + 100
+    spark.range(n).select("id", F.when(F.col("id") % 3 != 0, (F.col("id") - F.col("id") % 3).cast("string")).otherwise(F.col("id").cast("string")).alias("m")).coalesce(1).write.parquet(path)
+    vectors = delivery.deletion_vectors(spark, path, "m", "id").cache()
+    assert vectors.count() == 6 and delivery._grouping(vectors, 2) == (1, 1, {0: 6})
+    assert sorted(r.id for r in delivery.one_row_per_message(spark, path, "m", "id", 2).collect()) == list(range(0, n, 3))
+    assert delivery.surplus_rows(spark, path, "m", "id", 2).count() == n - len(range(0, n, 3))
+
+
+def test_a_group_reads_only_its_files(spark, tmp_path):
+    path = str(tmp_path / "many.parquet")
+    spark.range(80).select("id", F.lit("a").alias("m")).repartition(8).write.parquet(path)
+    scan = spark.read.parquet(path)
+    one = scan.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(4)) == 1)
+    assert one.rdd.getNumPartitions() <= scan.rdd.getNumPartitions()
+    leaf = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    one.collect()
+    assert 0 < leaf.metrics().apply("numFiles").value() < 8
 
 
 def test_no_messages(spark, tmp_path):
