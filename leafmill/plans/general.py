@@ -48,6 +48,27 @@ def p1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.snapshot(orphans.replay(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes")))
 
 
+def _snapshots_sql(slices: int = 3) -> str:
+    """The orphans of the references before each cut, by the arrivals and retirements before it; the last batch has no cut."""
+    dated = _REFS_SQL.rstrip()
+    seen = dated.replace("refs AS (SELECT", "refs0 AS (SELECT").replace(
+        "parents AS (",
+        f"""lim AS (SELECT min(m) AS lo, max(m) AS hi FROM refs0),
+    cut AS (SELECT k::INT AS batch, CASE WHEN k < {slices} THEN lo + (hi - lo) * k // {slices} END AS c FROM lim, generate_series(1, {slices}) AS g(k)),
+    refs AS (SELECT refs0.*, batch, c FROM refs0, cut WHERE c IS NULL OR m IS NULL OR m < c),
+    parents AS (""",
+    )
+    seen = seen.replace("SELECT r.note_id, r.field_name", "SELECT r.batch, r.note_id, r.field_name").replace("GROUP BY r.note_id", "GROUP BY r.batch, r.note_id").replace("SELECT note_id, field_name, ref_key,\n         CASE", "SELECT batch, note_id, field_name, ref_key,\n         CASE")
+    seen = seen.replace("ON p.k = r.ref_key AND", "ON p.k = r.ref_key AND (r.c IS NULL OR coalesce(p.f, 0) < r.c) AND")
+    return seen.replace("(p.g IS NULL OR r.m < p.g)", "(p.g IS NULL OR p.g >= coalesce(r.c, p.g + 1) OR r.m < p.g)") + " SELECT batch, field_name, period, reason, count(*) AS n_refs FROM orphan GROUP BY ALL"
+
+
+@GENERAL.query("p1_snapshots", _snapshots_sql())
+def p1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of orphans after each of the three batches."""
+    return orphans.snapshots(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes"))
+
+
 _STATE_SQL = r"""
 WITH parsed AS (
   SELECT seq, lower(regexp_replace(type, '^\s+|\s+$', '', 'g')) AS kind,

@@ -55,6 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def private_folder(spark: SparkSession) -> str:
+    """The path of a folder for state, in the checkpoint folder; removed when the program ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove materialised tables that no further result reads."""
     for t in tables:

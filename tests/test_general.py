@@ -59,6 +59,36 @@ def test_orphans_against_plain_reading(linked, cuts):
     assert len(got) == len(set(got))
 
 
+@pytest.mark.parametrize("hot_rows", [1, 5])
+def test_hot_keys_are_spread_over_time_and_salts(linked, hot_rows):
+    chunks, notes, c, n = linked
+    events, refs = orphans.parent_events(c), orphans.references(n)
+    got = orphans.judge(refs, events, hot_rows).collect()
+    assert {(r.note_id, r.field_name, r.ref_key, r.reason, r.moment is None) for r in got if r.reason} == brute_orphans(chunks, notes)
+    assert len(got) == refs.count()
+
+
+def test_a_batch_writes_only_the_parts_it_touches(spark, linked):
+    _, _, c, n = linked
+    events, refs = orphans.parent_events(c), orphans.references(n)
+    state = orphans.advance(None, events, refs)
+    one = spark.createDataFrame([("doc", "hot", 10**12, 1, 10**12)], "kind string, ref_key string, at long, delta long, seen long")
+    after = orphans.advance(state, one, refs.limit(0))
+    part = one.select(F.pmod(F.xxhash64("kind", "ref_key"), F.lit(orphans.PARTS))).first()[0]
+    assert {k: v for k, v in after.pending.items() if v == 2} == {part: 2}
+    assert {r.reason for r in orphans.orphans(after).where("ref_key = 'hot' AND period IS NOT NULL").collect()} == {"late"}
+    assert {r.reason for r in orphans.orphans(state).where("ref_key = 'hot'").collect()} == {"missing"}  # the state before is still there
+    again = orphans.advance(after, one, refs)  # repeated input changes nothing
+    assert {tuple(r) for r in orphans.orphans(again).collect()} == {tuple(r) for r in orphans.orphans(after).collect()} and orphans.orphans(again).count() == orphans.orphans(after).count()
+
+
+def test_snapshots_follow_the_batches(linked):
+    _, _, c, n = linked
+    got = orphans.snapshots(c, n, cuts=[5 * DAY]).collect()
+    last = {(r.field_name, r.period, r.reason, r.n_refs) for r in got if r.batch == 2}
+    assert {r.batch for r in got} == {1, 2} and last == {tuple(r) for r in orphans.snapshot(orphans.replay(c, n)).collect()}
+
+
 def test_late_parents_and_deletions_change_the_state(spark):
     ref = spark.createDataFrame([("n", "chunk_id", "page", "k", 10)], "note_id string, field_name string, kind string, ref_key string, moment long")
     ev = lambda *rows: spark.createDataFrame(list(rows), "kind string, ref_key string, at long, delta long, seen long")
