@@ -53,7 +53,7 @@ def key_points(pages: DataFrame, key: str, text: str, most: int = 5) -> DataFram
     # an element is the best of its kind if no earlier one has the kind
     first = F.filter("all", lambda x, i: (F.array_position(F.transform("all", lambda y: y["kind"]), x["kind"]) - 1) == i)
     rest = F.filter("all", lambda x, i: (F.array_position(F.transform("all", lambda y: y["kind"]), x["kind"]) - 1) != i)
-    picked = ranked.select(key, F.explode(F.slice(F.concat(first, rest), 1, most)).alias("p"))
+    picked = ranked.select(key, F.explode_outer(F.slice(F.concat(first, rest), 1, most)).alias("p")).where("p IS NOT NULL")
     return picked.select(key, "p.pos", "p.kind", (-F.col("p.neg")).alias("score"), "p.sentence")
 
 
@@ -63,7 +63,7 @@ def cross_references(pages: DataFrame, key: str, text: str, most: int = 6) -> Da
     parts = F.transform(found, lambda x: F.struct(F.lower(F.regexp_extract(x, "^[A-Za-z]+", 0)).alias("kind"), F.upper(F.regexp_extract(x, r"\d.*$", 0)).alias("number")))
     numbers = F.transform("x", lambda y: y["number"])
     once = F.filter("x", lambda y, i: F.array_position(numbers, y["number"]) - 1 == i)
-    rows = pages.select(F.col(key), parts.alias("x")).select(key, F.posexplode(F.slice(once, 1, most)).alias("i", "r"))
+    rows = pages.select(F.col(key), parts.alias("x")).select(key, F.posexplode_outer(F.slice(once, 1, most)).alias("i", "r")).where("i IS NOT NULL")
     return rows.select(key, "r.kind", "r.number", (F.col("i") + 1).alias("rank"))
 
 
@@ -71,7 +71,7 @@ def definitions(pages: DataFrame, order: list[str], text: str = "text") -> DataF
     """(term, definition, and the columns of `order`): the first definition of each quoted term, regardless of case, in the order of
     `order` and then of the text."""
     group = lambda n: F.regexp_extract_all(F.col(text), F.lit(DEFINITION), F.lit(n))
-    rows = pages.select(*order, F.posexplode(F.arrays_zip(group(1).alias("t"), group(2).alias("v"), group(3).alias("b"))).alias("i", "d"))
+    rows = pages.select(*order, F.posexplode_outer(F.arrays_zip(group(1).alias("t"), group(2).alias("v"), group(3).alias("b"))).alias("i", "d")).where("i IS NOT NULL")
     term = F.trim("d.t")
     first = rows.select(term.alias("term"), F.concat_ws(" ", F.col("d.v"), squash(F.col("d.b"))).alias("definition"), *order, "i")
     best = first.groupBy(F.lower("term").alias("k")).agg(F.min(F.struct(*order, "i", "term", "definition")).alias("m"))

@@ -82,7 +82,7 @@ def references(notes: DataFrame) -> DataFrame:
         F.coalesce(F.transform(items, lambda r: one("related", "page", r["id"])), F.array().cast("array<struct<field_name:string,kind:string,ref_key:string>>")),
     )
     return (
-        notes.select(F.col("id").alias("note_id"), F.coalesce("created_at", F.col("ts") * 1000).cast("long").alias("moment"), F.explode(refs).alias("r"))
+        notes.select(F.col("id").alias("note_id"), F.coalesce("created_at", F.col("ts") * 1000).cast("long").alias("moment"), F.explode_outer(refs).alias("r"))
         .select("note_id", "r.*", "moment")
         .where("ref_key IS NOT NULL")
         .distinct()

@@ -10,7 +10,7 @@ from leafmill.functions import text as T
 from leafmill.operators import answers, changefeed, insights, notebook, retrieval, telemetry, web
 from leafmill.operators.running import running
 from leafmill.plans.general import _STATE_SQL
-from leafmill.plans.reading import sql_excerpt, sql_sentences, sql_squash, sql_tokens
+from leafmill.plans.reading import kept_index, sql_excerpt, sql_sentences, sql_squash, sql_tokens
 from leafmill.plans.registry import Registry
 from leafmill.session import table
 
@@ -179,7 +179,7 @@ def _web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The web references of all notes as results of the note's document: a query per document, a provider per mode of note."""
     notes = _stored(spark, sf_dir).select(F.col("doc_short").alias("query"), "id", notebook.one_array(F.col("web"), "title STRING, url STRING").alias("w"))
     number = F.pmod(F.length("id"), F.lit(2))
-    return notes.select("query", "id", number.alias("provider_no"), F.posexplode("w").alias("pos", "r")).select("query", "id", "provider_no", "pos", "r.title", "r.url")
+    return notes.select("query", "id", number.alias("provider_no"), F.posexplode_outer("w").alias("pos", "r")).where("pos IS NOT NULL").select("query", "id", "provider_no", "pos", "r.title", "r.url")
 
 
 _TIER_SQL = "CASE " + " ".join(
@@ -359,14 +359,14 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every request whose number is divisible by 20: an answer quoted from the defined terms in its selection, the five best pages, its
     own left out, and, where it asks for the web, the web references of its page's notes."""
     stated = table(spark, sf_dir, "generate_requests").where(F.regexp_extract("request_id", r"(\d+)$", 1).try_cast("long") % 20 == 0)
-    return extracted(stated, table(spark, sf_dir, "chunks"), _stored(spark, sf_dir))
+    return extracted(stated, table(spark, sf_dir, "chunks"), _stored(spark, sf_dir), kept_index(spark, sf_dir, "chunks", "id"))
 
 
-def extracted(stated: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame:
+def extracted(stated: DataFrame, pages: DataFrame, notes: DataFrame, index: retrieval.Index | None = None) -> DataFrame:
     """(request_id, answer) of requests over pages and notes, each note once."""
     asked = retrieval.query_terms(stated, "request_id", "selection")
     own = stated.select(F.col("request_id").alias("query"), F.col("chunk_id").alias("page"))
-    top = retrieval.best(retrieval.scores(retrieval.build(pages, "id", "text"), asked).join(own, ["query", "page"], "left_anti"), 5)
+    top = retrieval.best(retrieval.scores(index or retrieval.build(pages, "id", "text"), asked).join(own, ["query", "page"], "left_anti"), 5)
     texts = pages.select(F.col("id").alias("page"), "doc_short", F.col("page").alias("page_no"), "text")
     passages = top.join(texts, "page").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_short", F.col("page_no").alias("page"), "text"))).alias("passages"))  # five at most
 
@@ -398,7 +398,7 @@ def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sentences of its page a highlight marks: joined on the page, matched within the row."""
     notes = _stored(spark, sf_dir).where("mode = 'highlight'").select(F.col("id").alias("note_id"), F.regexp_replace("chunk_id", r"^\s+|\s+$", "").alias("chunk"), "selection")
     pages = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk"), T.sentences(F.col("text")).alias("s"))
-    each = notes.join(pages, "chunk").select("note_id", "selection", F.posexplode("s").alias("pos", "sentence"))
+    each = notes.join(pages, "chunk").select("note_id", "selection", F.posexplode_outer("s").alias("pos", "sentence")).where("pos IS NOT NULL")
     return each.where(T.marks_sentence(F.col("selection"), F.col("sentence"))).select("note_id", "pos")
 
 
