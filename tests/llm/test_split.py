@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def test_round_trip(spark, most, overlap, range_bytes):
     for p in split.pieces(make(spark, TEXTS, most, overlap, range_bytes)).collect():
         got.setdefault(p.item.item_id, []).append(p)
     over = {k for k, v in TEXTS.items() if v and len(v) > most}
-    assert {k for k, v in got.items() if len(v) > 1} == over
+    assert got.keys() == over and all(len(v) > 1 for v in got.values())
     for k, v in got.items():
         check(TEXTS[k], v, most, overlap)
 
@@ -56,6 +58,31 @@ def test_natural_places(spark):
             assert p.end_char % 2 == 0
 
 
+def test_hard_cuts_only_where_no_boundary_is_in_reach(spark):
+    """Brute force: a piece ends hard only if no boundary lies within the room after the cut before it, or in the reach of a run that is
+    longer than a piece."""
+    rng = random.Random(11)
+    texts = {f"t{i}": "".join(rng.choice(["word " * rng.randint(1, 30), "x" * rng.randint(1, 75), "End. ", "y" * rng.randint(60, 200) + " "]) for _ in range(12)) for i in range(40)}
+    texts["reach"] = "abcd " * 8 + "z" * 75 + " tail" * 30  # 80 is the room: the run of 75 needs no cut inside
+    for most, overlap in ((100, 20), (101, 20)):
+        got = {}
+        for p in split.pieces(make(spark, texts, most, overlap, 64)).collect():
+            got.setdefault(p.item.item_id, []).append(p)
+        for k, v in got.items():
+            check(texts[k], v, most, overlap)
+            run = [len(r) for r in texts[k].split(" ")]
+            for p in v:
+                if p.cut == "none":
+                    around = texts[k][: p.end_char].rsplit(" ", 1)[-1] + texts[k][p.end_char :].split(" ", 1)[0]
+                    assert len(around) >= most - overlap - 2, (k, p, run)
+        assert all(p.cut != "none" for p in got["reach"])
+
+
+def test_items_within_the_limit_as_one_piece(spark):
+    got = {(p.item.item_id, p.piece_no): p.text for p in split.pieces(make(spark, {"a": "é" * 90, "b": "q " * 80}), whole=True).collect()}
+    assert got["a", 1] == "é" * 90 and ("a", 2) not in got and ("b", 2) in got
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = spark.createDataFrame([("a", "p q " * 60), ("a", "p q " * 60), (None, "r s " * 60), ("a", "other " * 50)], "id string, text string")
     got = split.pieces(split.text_ranges(split.oversized(rows, "t", "id", "text", F.lit(100), F.lit(10)), 50)).collect()
