@@ -29,6 +29,7 @@ def _one_of(words: list[str]) -> str:
 
 # Three and more letters or hyphens from the first letter of a run on, unless they are a stopword.
 TOKEN = r"(?<![a-z\-])-*((?!" + _one_of([w for w in STOPWORDS if len(w) > 2]) + r"(?![a-z\-]))[a-z][a-z\-]{2,})"
+# Fixed value: a sentence.
 SENTENCE = r"[^.!?]+[.!?]+(?=\s|$)|[^.!?]+$"
 
 
@@ -148,10 +149,14 @@ def trace_parts(header: Column) -> Column:
     return F.when((t != "") & (t != "0" * 32) & (s != "0" * 16), F.struct(t.alias("trace_id"), s.alias("span_id")))
 
 
+# Fixed value: a citation of a document's page.
+CITATION = r"\[([A-Za-z][A-Za-z .]{0,30}), p\.\s?(\d{1,4})\]"
+
+
 def citations(text: Column) -> Column:
-    """The [Document, p.N] citations in a text, as "Document|N" structs, in order."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[[^\[\],]+, p\.\d+\]"), F.lit(0))
-    return F.transform(found, lambda c: F.struct(F.regexp_extract(c, r"^\[([^,]+),", 1).alias("doc_short"), F.regexp_extract(c, r"p\.(\d+)\]$", 1).cast("int").alias("page")))
+    """The [Document, p.N] citations in a text as structs (doc_short, page), in order."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(0))
+    return F.transform(found, lambda c: F.struct(F.trim(F.regexp_extract(c, CITATION, 1)).alias("doc_short"), F.regexp_extract(c, CITATION, 2).cast("int").alias("page")))
 
 
 def reading_minutes(words: Column) -> Column:
@@ -159,10 +164,16 @@ def reading_minutes(words: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(words / 230 + 0.5)).cast("int")
 
 
+# Fixed value: a sentence as the reader shows it.
+READER_SENTENCE = r"[^.!?]+[.!?]+[\"”’)]?(?:(?U:\s)+|\z)|[^.!?]+\z"
+
+
 def reader_sentences(text: Column) -> Column:
-    """Sentences as a reader shows them: with closing quotes and the space after; a text without any is one sentence."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?]+[.!?]+[\"”’)]*\s*|[^.!?]+$"), F.lit(0))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+    """Sentences as a reader shows them: one closing quote stays with its sentence, white space at the ends goes. A text in which none is found is
+    one sentence; null and blank texts have none."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(READER_SENTENCE), F.lit(0))
+    held = F.when(F.size(found) > 0, found).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    return F.filter(F.transform(held, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def hits_query(sentence: Column, query_tokens: Column) -> Column:
@@ -172,11 +183,12 @@ def hits_query(sentence: Column, query_tokens: Column) -> Column:
 
 
 def marks_sentence(selection: Column, sentence: Column) -> Column:
-    """Whether a selection and a sentence are the same text: equal, one within the other, or, from 12 characters on, alike in their first or
-    last 30 characters."""
-    a, b = squash(selection), squash(sentence)
+    """Whether a selection marks a sentence, without regard to case and white space: one lies within the other, or, from 12 characters on, the
+    sentence has the selection's first or last 30 characters. Sentences below three characters are never marked; an empty selection marks all others,
+    a null one none."""
+    a, b = F.lower(squash(selection)), F.lower(squash(sentence))
     ends = (F.length(a) >= 12) & (b.contains(F.substring(a, 1, 30)) | b.contains(F.substring(a, -30, 30)))
-    return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | ends)
+    return selection.isNotNull() & (F.length(b) >= 3) & (a.contains(b) | b.contains(a) | ends)
 
 
 def slug(text: Column) -> Column:
@@ -184,19 +196,66 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def age_label(seconds: Column) -> Column:
-    """How long ago: just now, minutes, hours, days, or weeks."""
-    n = lambda d, unit: F.concat(F.floor(seconds / d).cast("string"), F.lit(unit))
-    return F.when(seconds < 60, "just now").when(seconds < 3600, n(60, " min ago")).when(seconds < 86400, n(3600, " h ago")).when(seconds < 7 * 86400, n(86400, " d ago")).otherwise(n(7 * 86400, " w ago"))
+def age_label(now_ms: Column, at_ms: Column) -> Column:
+    """How long ago `at_ms` was, rounded: just now, minutes, hours; from a day on its date in UTC."""
+    rounded = lambda x: F.floor(x + 0.5)
+    seconds = rounded((now_ms - at_ms) / 1000)
+    label = lambda d, unit: F.concat(rounded(seconds / d).cast("string"), F.lit(unit))
+    day = F.date_format(F.date_from_unix_date(F.floor(at_ms / F.lit(86_400_000)).cast("int")), "yyyy-MM-dd")
+    return F.when(seconds < 60, "just now").when(seconds < 3600, label(60, " min ago")).when(seconds < 86400, label(3600, " h ago")).otherwise(day)
+
+
+# What is escaped, links out of the text, and inline marks with their HTML, in order.
+ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
+LINK = r"\[([^\]]{1,300})\]\((https?://[^\s)\"<>]{1,2000})\)"
+INLINE = [
+    (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"(^|[^*])\*(?!\s)(.+?)\*(?!\*)", "$1<em>$2</em>"), (r"(^|\W)_(?!\s)(.+?)_(?=\W|$)", "$1<em>$2</em>"), (r"`(.+?)`", "<code>$1</code>"),
+    (r"\[([A-Za-z][A-Za-z .]{0,30}?) *, p\.\s?(\d{1,4})\]", '<a href="#" class="ref" data-short="$1" data-page="$2">[$1, p.$2]</a>'),
+]
+
+
+def _inline(line: Column) -> Column:
+    """Inline marks of an escaped line. Links are set aside first, so that no mark in a URL counts."""
+
+    def marked(links: Column) -> Column:
+        hole = lambda i: F.concat(F.lit("\x00"), F.array_position(links, i).cast("string"), F.lit("\x00"))
+        out = F.aggregate(links, line, lambda acc, x: F.replace(acc, x, hole(x)))
+        for pattern, new in INLINE:
+            out = F.regexp_replace(out, pattern, new)
+        anchor = lambda x: F.concat(F.lit('<a href="'), F.regexp_extract(x, LINK, 2), F.lit('" target="_blank" rel="noopener noreferrer" class="ext">'), F.regexp_extract(x, LINK, 1), F.lit("</a>"))
+        return F.aggregate(links, out, lambda acc, x: F.replace(acc, hole(x), anchor(x)))
+
+    links = F.array_sort(F.array_distinct(F.regexp_extract_all(line, F.lit(LINK), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+    return F.get(F.transform(F.array(links), marked), F.lit(0))
 
 
 def markdown_html(text: Column) -> Column:
-    """Markdown as HTML, escaped first: headings, list items, bold, emphasis, code and http(s) links."""
-    out = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    for pattern, new in (
-        (r"(?m)^### (.*)$", "<h4>$1</h4>"), (r"(?m)^## (.*)$", "<h3>$1</h3>"), (r"(?m)^[-*] (.*)$", "<li>$1</li>"),
-        (r"`([^`\n]+)`", "<code>$1</code>"), (r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>"), (r"(?<![\w*])[*_]([^*_\n]+)[*_](?![\w*])", "<em>$1</em>"),
-        (r"\[([^\]\n]+)\]\((https?://[^\s)\"]+)\)", '<a href="$2" rel="noopener">$1</a>'),
-    ):
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """Markdown as HTML, escaped first: headings, bullet and numbered lists, paragraphs, bold, emphasis, code, http(s) links, citations as
+    links into the book. A line decides by itself; lists open and close where the kind of the line before differs."""
+    escaped = F.coalesce(text, F.lit(""))
+    for a, b in ESCAPES:
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    shapes = [("h3", r"^#{1,6}\s+(.*)$"), ("ul", r"^\s*[-*•]\s+(.*)$"), ("ol", r"^\s*\d+[.)]\s+(.*)$")]
+
+    def shaped(raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"(?U)\s+$", "")
+        kinds = F.coalesce(*[F.when(line.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(line, p, 1).alias("body"))) for k, p in shapes], F.struct(F.when(line != "", "p").otherwise("").alias("kind"), line.alias("body")))
+        return kinds
+
+    def page(rows: Column) -> Column:
+        listed = lambda i: F.when(F.get(rows, i)["kind"].isin("ul", "ol"), F.get(rows, i)["kind"]).otherwise("")
+
+        def one(row: Column, i: Column) -> Column:
+            before = F.when(i > 0, listed(i - 1)).otherwise("")
+            mine = listed(i)
+            close = F.when((before != "") & (before != mine), F.concat(F.lit("</"), before, F.lit(">"))).otherwise("")
+            begin = F.when((mine != "") & (before != mine), F.concat(F.lit("<"), mine, F.lit(">"))).otherwise("")
+            tag = F.when(mine != "", "li").otherwise(row["kind"])
+            body = F.when(row["kind"] != "", F.concat(F.lit("<"), tag, F.lit(">"), _inline(row["body"]), F.lit("</"), tag, F.lit(">"))).otherwise("")
+            return F.concat(close, begin, body)
+
+        last = listed(F.size(rows) - 1)
+        return F.concat(F.array_join(F.transform(rows, one), ""), F.when(last != "", F.concat(F.lit("</"), last, F.lit(">"))).otherwise(""))
+
+    rows = F.transform(F.split(escaped, "\n"), shaped)
+    return F.get(F.transform(F.array(rows), page), F.lit(0))

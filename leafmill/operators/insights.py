@@ -21,8 +21,9 @@ KINDS = [
     ("right", r"\b(right to|rights of|consent|protect\w*|redress|appeal|complain\w*|human rights|non-discriminat\w*)\b", 3),
     ("power", r"\b(may (issue|make|prescribe|appoint|establish|delegate)|shall (establish|appoint|prescribe)|responsible for|functions? of)\b", 2),
 ]
+# Fixed value: a reference to a section, clause or article.
 XREF = r"(?i)(?<![A-Za-z0-9_])(?:section|clause|article)\s+\d{1,3}[A-Z]?"
-# A quoted term, a defining verb and what follows, up to a semicolon.
+# Fixed value: a quoted term, a defining verb and what follows, up to a semicolon.
 DEFINITION = r"[“\"]([^”\"]{2,60})[”\"]\s+(means|has the meaning|includes)\s+([^;]{5,400})"
 
 
@@ -95,3 +96,42 @@ def matching_definitions(selections: DataFrame, key: str, text: str, glossary: D
     hit = mine.join(terms, "anchor").where(F.col("sel").contains(F.col("low")) | ((F.size("tt") > 0) & (F.size(F.array_except("tt", "st")) == 0)))
     once = hit.select(key, "term", "definition", *more).distinct()
     return once.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order, "term"))).where(F.col("r") <= most).drop("r")
+
+
+#: Characters of a term at most; definitions have 60.
+TERM_CHARS = 60
+
+
+def term_uses(pages: DataFrame, key: str, doc: str, page: str, text: str, glossary: DataFrame) -> DataFrame:
+    """(key, term, use, at): where each glossary term (term, doc, page) of four and more characters is first used on each page, at a word's
+    beginning and end, without regard to case; of terms at one place the longest, and none within the one before. Terms that begin with a
+    capital only match capitalised uses; no term is linked on the page that defines it. Of terms alike but for case the last in order of doc and page counts.
+
+    Words of pages meet terms on the terms' first word; each carries the TERM_CHARS characters that follow."""
+    border = r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
+    first = lambda c: F.get(F.filter(F.split(c, border), lambda x: x != ""), F.lit(0))
+    known = glossary.where(F.length("term").between(4, TERM_CHARS)).groupBy(F.lower("term").alias("low")).agg(F.max(F.struct("doc", "page", "term")).alias("m"))
+    known = known.select("low", first(F.col("low")).alias("head"), F.col("m.doc").alias("_doc"), F.col("m.page").alias("_page"), F.col("m.term").alias("term"))
+
+    def placed(parts: Column) -> Column:
+        ahead = lambda i: F.substring(F.array_join(F.slice(parts, i + 1, TERM_CHARS + 1), ""), 1, TERM_CHARS + 1)
+        words = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["x"].rlike("[A-Za-z0-9_]"))
+        return F.transform(words, lambda y: F.struct(y["i"].alias("at"), F.lower(y["x"]).alias("head"), ahead(y["i"]).alias("ahead")))
+
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), border), lambda x: x != "")
+    words = F.get(F.transform(F.array(parts), placed), F.lit(0))
+    each = pages.select(F.col(key), F.col(doc).alias("d"), F.col(page).alias("p"), F.explode_outer(words).alias("w")).where("w IS NOT NULL").select(key, "d", "p", "w.*")
+    after, before = F.substring(F.col("ahead"), F.length("low") + 1, F.lit(1)), F.substring(F.col("low"), -1, 1)
+    ends = (after == "") | (after.rlike("[A-Za-z0-9_]") != before.rlike("[A-Za-z0-9_]"))
+    hits = each.join(known, "head").where(F.lower("ahead").startswith(F.col("low")) & ends)
+    longest = hits.groupBy(key, "at").agg(F.max(F.struct(F.length("low").alias("n"), "low", "term", "_doc", "_page", "ahead", "d", "p")).alias("h"))
+    size = lambda h: F.size(F.filter(F.split(h["low"], border), lambda x: x != ""))
+    inside = longest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", size(F.col("h")).alias("size"), "h"))).alias("hs"))  # at most a page's words
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(inside.schema["hs"].dataType).alias("kept"))
+    free = lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] + x["size"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = inside.select(key, F.explode_outer(F.aggregate("hs", start, free)["kept"]).alias("k")).where("k IS NOT NULL").select(key, "k.at", "k.h.*")
+    use = F.substring(F.col("ahead"), F.lit(1), F.col("n"))
+    capital = F.col("term").rlike("^[A-Z]") & ~use.rlike("^[A-Z]")
+    here = (F.col("_doc") == F.col("d")) & (F.col("_page") == F.col("p"))
+    best = kept.where(~capital & ~F.coalesce(here, F.lit(False))).groupBy(key, "term").agg(F.min(F.struct("at", use.alias("use"))).alias("m"))
+    return best.select(key, "term", "m.use", "m.at")

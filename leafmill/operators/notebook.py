@@ -59,10 +59,26 @@ def sync_merge(remote_notes: DataFrame, remote_gone: DataFrame, local: DataFrame
     return both.select("note_id", version.alias("version"), origin.alias("origin"), deleted.alias("deleted"))
 
 
-def view(notes: DataFrame, words: Column) -> DataFrame:
-    """Notes in which all `words` (an array of tokens) occur in selection, answer, comment or session."""
-    said = tokens(F.concat_ws(" ", "selection", "answer", "comment", "session"))
-    return notes.where(F.size(F.array_except(words, said)) == 0)
+# The group of each mode of note; other modes belong to the last.
+GROUPS = {"highlight": "highlights", "note": "mine", "research": "research", "simplify": "research", "ask": "research", "web": "research"}
+
+
+def note_group(mode: Column) -> Column:
+    out = F.lit("research")
+    for m, g in GROUPS.items():
+        out = F.when(mode == m, g).otherwise(out)
+    return out
+
+
+def view(notes: DataFrame, session: Column | None = None, group: str = "all", words: Column | None = None) -> DataFrame:
+    """Notes of a session (none given: of all), of a group, in which all `words` (an array of tokens) occur in selection, answer or comment."""
+    if session is not None:
+        notes = notes.where(F.coalesce(F.col("session") == session, F.lit(False)))
+    if group != "all":
+        notes = notes.where(note_group(F.col("mode")) == group)
+    if words is not None:
+        notes = notes.where(F.size(F.array_except(words, tokens(F.concat_ws(" ", "selection", "answer", "comment")))) == 0)
+    return notes
 
 
 def related_pages(notes: DataFrame) -> DataFrame:

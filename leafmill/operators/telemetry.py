@@ -17,6 +17,12 @@ def error_ratios(events: DataFrame, at: str, failed: Column, length: str, by: li
     )
 
 
+def shares(events: DataFrame, at: str, hit: Column, length: str, every: str) -> DataFrame:
+    """(window_start, n_events, n_hits, share) in windows of `length`, one every `every`."""
+    grouped = events.groupBy(F.window(at, length, every).alias("w")).agg(F.count("*").alias("n_events"), F.count_if(hit).alias("n_hits"))
+    return grouped.select(F.col("w.start").alias("window_start"), "n_events", "n_hits", (F.col("n_hits") / F.col("n_events")).alias("share"))
+
+
 def burning(ratios_short: DataFrame, ratios_long: DataFrame, by: list[str], budget: float, factor: float = 14.4) -> DataFrame:
     """Short windows in which the error ratio burns the budget `factor` times too fast, in the long window around them as well."""
     long_ = ratios_long.select(*by, F.col("window_start").alias("long_start"), F.col("ratio").alias("long_ratio"))

@@ -10,7 +10,7 @@ from leafmill.functions import text as T
 from leafmill.operators import answers, changefeed, insights, notebook, retrieval, telemetry, web
 from leafmill.operators.running import running
 from leafmill.plans.general import _STATE_SQL
-from leafmill.plans.reading import kept_index, sql_excerpt, sql_sentences, sql_squash, sql_tokens
+from leafmill.plans.reading import kept_index, sql_excerpt, sql_squash, sql_tokens
 from leafmill.plans.registry import Registry
 from leafmill.session import table
 
@@ -108,14 +108,6 @@ def notes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best(scored, 10).select("query", F.col("page").alias("note_id"), F.bround("score", 3).alias("score"), "rank")
 
 
-@NOTES.query(
-    "notes_view",
-    f"""SELECT id, session FROM (SELECT DISTINCT * FROM notes) WHERE len(list_filter(['council', 'needs'], lambda w: NOT list_contains({sql_tokens("concat_ws(' ', selection, answer, comment, session)")}, w))) = 0""",
-)
-def notes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notebook.view(_stored(spark, sf_dir), F.array(F.lit("council"), F.lit("needs"))).select("id", "session")
-
-
 @NOTES.query(
     "sync_merge",
     _ONCE_SQL
@@ -204,9 +196,19 @@ def web_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", host.alias("domain"), T.source_tier(host).alias("t"), "n_refs").select("url", "domain", "t.tier", "t.tier_label", "n_refs")
 
 
-@NOTES.query("web_ranked")
+@NOTES.query(
+    "web_ranked",
+    rf"""WITH r0 AS (SELECT id, doc_short AS query, length(id) % 2 AS provider_no, from_json(CASE WHEN json_valid(web) AND json_type(web) = 'ARRAY' THEN web ELSE '[]' END, '["JSON"]') AS l FROM (SELECT DISTINCT * FROM notes)),
+    r AS (SELECT id, query, provider_no, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM r0),
+    b AS (SELECT query, provider_no, row_number() OVER (PARTITION BY query, provider_no ORDER BY id, i) - 1 AS pos, x->>'$.title' AS title, x->>'$.url' AS u FROM r),
+    p AS (SELECT *, regexp_extract(u, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', ['s', 'a', 'p', 'q']) AS y FROM b),
+    n AS (SELECT query, provider_no, pos, pos + 0.5 * provider_no AS place, title, y.s || '://' || lower(y.a) || CASE WHEN y.p = '' THEN '/' ELSE y.p END || y.q AS url, regexp_replace(lower(y.a), '^www\.', '') AS h FROM p WHERE y.a <> ''),
+    f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query, url ORDER BY provider_no, pos, place, title) = 1)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY ({_TIER_SQL}).t, place, provider_no, pos) AS rank, url, h AS domain, ({_TIER_SQL}).t AS tier, ({_TIER_SQL}).l AS tier_label,
+      CASE WHEN {sql_excerpt("title", 200)} <> '' THEN {sql_excerpt("title", 200)} ELSE h END AS title FROM f QUALIFY rank <= 8""",
+)
 def web_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight best web references per document; ties within a batch are settled by note, so no SQL is given."""
+    """The eight best web references per document; ties within a batch are settled by note."""
     rows = _web_results(spark, sf_dir)
     order = F.row_number().over(W.partitionBy("query", "provider_no").orderBy("id", "pos"))
     return web.ranked(rows.withColumn("pos", order - 1))
@@ -247,9 +249,15 @@ def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.bucket_counts(table(spark, sf_dir, "events"), F.col("value"), ["event_type"])
 
 
-@NOTES.query("value_p95")
+@NOTES.query(
+    "value_p95",
+    f"""WITH b AS (SELECT event_type, len(list_filter({_LE}, lambda x: x < value)) AS b FROM events WHERE value IS NOT NULL), n AS (SELECT event_type, b, count(*) AS n FROM b GROUP BY ALL),
+    c AS (SELECT event_type, b, n, sum(n) OVER (PARTITION BY event_type ORDER BY b) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM n),
+    h AS (SELECT event_type, arg_min({{'b': b, 'n': n, 'upto': upto, 'total': total}}, b) AS h FROM c WHERE upto >= 0.95 * total GROUP BY event_type)
+    SELECT event_type, CASE WHEN h.b >= {len(telemetry.BUCKETS)} THEN {telemetry.BUCKETS[-1]} ELSE ([0.0] || {_LE})[h.b + 1] + ({_LE}[h.b + 1] - ([0.0] || {_LE})[h.b + 1]) * (0.95 * h.total - (h.upto - h.n)) / h.n END::DOUBLE AS value FROM h""",
+)
 def value_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 95th percentile read off the buckets, tested against a plain reading in the tests."""
+    """The 95th percentile read off the buckets."""
     return telemetry.quantile(telemetry.bucket_counts(table(spark, sf_dir, "events"), F.col("value"), ["event_type"]), 0.95, ["event_type"])
 
 
@@ -388,20 +396,6 @@ def extracted(stated: DataFrame, pages: DataFrame, notes: DataFrame, index: retr
     return rows.select("request_id", text.alias("answer"))
 
 
-@NOTES.query(
-    "marked_sentences",
-    f"""WITH p AS (SELECT id, {sql_squash('text')} AS t FROM chunks), s AS (SELECT id, unnest(l) AS s, (generate_subscripts(l, 1) - 1)::INT AS pos FROM (SELECT id, {sql_sentences('t')} AS l FROM p)),
-    n AS (SELECT id AS note_id, regexp_replace(chunk_id, '^\\s+|\\s+$', '', 'g') AS chunk, {sql_squash('selection')} AS a FROM (SELECT DISTINCT * FROM notes) WHERE mode = 'highlight')
-    SELECT note_id, pos FROM n JOIN s ON s.id = n.chunk WHERE a <> '' AND (contains(a, s) OR contains(s, a) OR (length(a) >= 12 AND (contains(s, a[1:30]) OR contains(s, CASE WHEN length(a) > 30 THEN a[-30:] ELSE a END))))""",
-)
-def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which sentences of its page a highlight marks: joined on the page, matched within the row."""
-    notes = _stored(spark, sf_dir).where("mode = 'highlight'").select(F.col("id").alias("note_id"), F.regexp_replace("chunk_id", r"^\s+|\s+$", "").alias("chunk"), "selection")
-    pages = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk"), T.sentences(F.col("text")).alias("s"))
-    each = notes.join(pages, "chunk").select("note_id", "selection", F.posexplode_outer("s").alias("pos", "sentence")).where("pos IS NOT NULL")
-    return each.where(T.marks_sentence(F.col("selection"), F.col("sentence"))).select("note_id", "pos")
-
-
 @NOTES.query(
     "related_notes",
     f"""WITH p AS (SELECT id, doc, page, {sql_tokens('text')} AS t FROM chunks WHERE page % 20 = 0),

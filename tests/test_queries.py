@@ -7,10 +7,11 @@ import pytest
 
 from leafmill.plans.general import GENERAL
 from leafmill.plans.notes import NOTES
+from leafmill.plans.reader import READER
 from leafmill.plans.reading import READING
 from verify import rows
 
-QUERIES = {name: (run, part.sqls.get(name)) for part in (GENERAL, READING, NOTES) for name, run in part.runs.items()}
+QUERIES = {name: (run, part.sqls.get(name)) for part in (GENERAL, READING, NOTES, READER) for name, run in part.runs.items()}
 
 
 @pytest.fixture(scope="module")

@@ -57,7 +57,7 @@ def test_keys_and_traces(spark):
     assert got.k == hashlib.sha256(b"a\x1f\x1f3").hexdigest()[:40] and got.f == hashlib.sha256(b"PUT /x\n{}").hexdigest()
     good = "00-" + "a" * 32 + "-" + "b" * 16 + "-01"
     assert one(spark, lambda c: T.trace_parts(c)["span_id"], good, good.replace("a", "0"), good.replace("b", "0"), "x", None) == ["b" * 16, None, None, None, None]
-    assert one(spark, T.citations, "see [Bill, p.4] and [Plan 2, p.11]!") == [[("Bill", 4), ("Plan 2", 11)]]
+    assert one(spark, T.citations, "see [Bill, p.4], [Road Map , p. 11], [Plan 2, p.3] and [Bill, p.12345]!", None) == [[("Bill", 4), ("Road Map", 11)], []]
 
 
 def plain_bm25(docs, query):
@@ -141,14 +141,44 @@ def test_quantile_from_buckets(spark):
 
 
 def test_reader_functions(spark):
-    assert one(spark, T.reader_sentences, 'He said "no." Then left. end', "", None)[0] == ['He said "no." ', "Then left. ", "end"]
+    assert one(spark, T.reader_sentences, 'He said "no."  Then left. It is 3.5 million. end', "?!", "", None, "a.b") == [['He said "no."', "Then left.", "5 million.", "end"], ["?!"], [], [], ["b"]]
     assert one(spark, T.slug, " Über: Plan 2! ", None) == ["ber-plan-2", ""]
-    assert one(spark, lambda c: T.age_label(c.cast("int")), "5", "120", "7200", "172800", "1500000") == ["just now", "2 min ago", "2 h ago", "2 d ago", "2 w ago"]
+    day = 86_400_000
+    ages = one(spark, lambda c: T.age_label(F.lit(20_000 * day), 20_000 * day - c.cast("long")), "59499", "59500", "90000", "5369000", "7200000", "86399000", str(2 * day))
+    assert ages == ["just now", "1 min ago", "2 min ago", "1 h ago", "2 h ago", "24 h ago", "2024-10-02"]
     q = F.array(F.lit("water"), F.lit("tariff"), F.lit("water"))
     assert one(spark, lambda c: T.hits_query(c, q), "Water here", "The water tariff") == [False, True]
-    assert one(spark, lambda c: T.marks_sentence(c, F.lit("The board  keeps a register of all")), "board keeps", "The board keeps a register of all and more", "", "board kept it", None) == [True, True, False, False, False]
-    html = one(spark, T.markdown_html, "## Head\n- **b** <i> `x` [t](https://a.b/) [u](javascript:x)")[0]
-    assert html == '<h3>Head</h3>\n<li><strong>b</strong> &lt;i&gt; <code>x</code> <a href="https://a.b/" rel="noopener">t</a> [u](javascript:x)</li>'
+    sentence = F.lit("The Board  keeps a register of all and")
+    assert one(spark, lambda c: T.marks_sentence(c, sentence), "board KEEPS", "The board keeps a register of all and more", "", "board kept it", None, "Keeps a register of all and then some more of it") == [True, True, True, False, False, False]
+    assert one(spark, lambda c: T.marks_sentence(c, F.lit("ab")), "xaby") == [False]
+
+
+def test_markdown(spark):
+    cases = {
+        "## Head\n- **b** <i> `x`\n- two\n1. one\n\n2) two\ntext": "<h3>Head</h3><ul><li><strong>b</strong> &lt;i&gt; <code>x</code></li><li>two</li></ul><ol><li>one</li></ol><ol><li>two</li></ol><p>text</p>",
+        "[t_u](https://a.b/x_y_z?q=1) [u](javascript:x) _em_ *st*": '<p><a href="https://a.b/x_y_z?q=1" target="_blank" rel="noopener noreferrer" class="ext">t_u</a> [u](javascript:x) <em>em</em> <em>st</em></p>',
+        "see [Bill, p.4] \"q\" it's": '<p>see <a href="#" class="ref" data-short="Bill" data-page="4">[Bill, p.4]</a> &quot;q&quot; it&#39;s</p>',
+        "snake_case_word": "<p>snake_case_word</p>", "": "", "a & b  ": "<p>a &amp; b</p>",
+    }
+    assert one(spark, T.markdown_html, *cases, None) == [*cases.values(), ""]
+
+
+def test_term_uses(spark):
+    glossary = spark.createDataFrame([("Office", "b", 1), ("water board", "b", 2), ("board", "b", 2), ("of", "b", 1), ("Board", "a", 1)], "term string, doc string, page int")
+    pages = spark.createDataFrame(
+        [("p1", "d", 5, "An office, the Office. Water  board! water board boards BOARD."), ("p2", "b", 1, "Office and Water Board's"), ("p3", "d", 6, None), ("p4", "d", 7, "officer")],
+        "id string, doc string, page int, text string",
+    )
+    got = {(r.id, r.term, r.use) for r in insights.term_uses(pages, "id", "doc", "page", "text", glossary).collect()}
+    assert got == {("p1", "Office", "Office"), ("p1", "board", "board"), ("p1", "water board", "water board"), ("p2", "water board", "Water Board")}
+
+
+def test_sections_done_and_resolved_references(spark):
+    heads = spark.createDataFrame([("bill1", 1, 0, 2, "Clause 1 — A"), ("bill1", 1, 1, 3, "x"), ("bill1", 4, 0, 2, "Clause 4A"), ("bill2", 2, 0, 2, "Clause 4A — B"), ("bill2", 9, 0, 2, "Clause 12 — B")], "doc string, page int, pos int, level int, label string")
+    seen = spark.createDataFrame([("s", "bill1", 3), ("t", "bill1", 2), ("s", "bill2", 99)], "session string, doc string, furthest int")
+    assert {tuple(r) for r in structure.sections_done(heads, seen).collect()} == {("s", "bill1", 1, 0, "Clause 1 — A"), ("s", "bill1", 1, 1, "x"), ("s", "bill2", 2, 0, "Clause 4A — B")}
+    refs = spark.createDataFrame([("a", "bill1", 4, "4A"), ("b", "digest", 4, "4A"), ("c", "bill1", 4, "12"), ("d", "bill1", 4, "1"), ("e", "bill1", 4, "99")], "id string, doc string, page int, number string")
+    assert {(r.id, r.target_doc, r.target_page) for r in structure.resolved(refs, heads).collect()} == {("b", "bill1", 4), ("c", "bill2", 9), ("d", "bill1", 1)}
 
 
 def test_extractive_answer(spark):
