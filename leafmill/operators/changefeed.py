@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators.delivery import message_key
+from leafmill.session import materialise
 
 BASE_SEQ = -(2**63)  # base rows come before any row of the feed
 NO_VERSION = -(2**63)
@@ -39,7 +40,7 @@ def _whole(raw: Column, payload: Column, name: str) -> Column:
     """A JSON number, or a string of digits, as a long; null for anything else."""
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant"))
     return F.when(raw.rlike("^[0-9]+$"), raw.try_cast("long")).when(
-        raw.isNotNull() & (kind != "STRING"), raw.try_cast("double").try_cast("long")
+        raw.isNotNull() & (kind != "STRING"), raw.try_cast("decimal(38,9)").try_cast("long")
     )
 
 
@@ -120,12 +121,11 @@ NOTE_FIELDS = "id STRING, doc STRING, page INT, mode STRING, selection STRING, s
 
 def current_notebook(notes: DataFrame, tombstones: DataFrame, feed: DataFrame) -> DataFrame:
     """The live notes after the feed, with their contents; `decided_by` is the seq of the deciding row, null
-    where the stored note stands."""
+    where the stored note stands. What stands is decided without contents; those of the deciding rows only are read then, by seq or by note."""
     cols = [c.split()[0] for c in NOTE_FIELDS.split(",")]
-    state = fold(base_rows(notes, tombstones, F.to_json(F.struct(*cols))), read_changes(feed, wide=True))
-    body = F.from_json("payload", NOTE_FIELDS)
-    return (
-        state.where("is_delete = 0")
-        .select("note_id", F.when(F.col("version") != NO_VERSION, F.col("version")).alias("version"), F.when(F.col("seq") != BASE_SEQ, F.col("seq")).alias("decided_by"), body.alias("b"))
-        .select("note_id", "version", "decided_by", *[f"b.{c}" for c in cols if c != "id"])
-    )
+    live = materialise(current_state(notes, tombstones, feed).where("is_delete = 0"))
+    changed = live.where(F.col("seq") != BASE_SEQ).join(feed.select("seq", "payload"), "seq").select("note_id", "version", F.col("seq").alias("decided_by"), F.from_json("payload", NOTE_FIELDS).alias("b"))
+    stored = notes.select(F.col("id").alias("note_id"), F.coalesce("updated_at", F.col("ts") * 1000, F.lit(NO_VERSION)).cast("long").alias("version"), F.struct(*cols).alias("b"))
+    same = live.where(F.col("seq") == BASE_SEQ).select("note_id", "version").join(stored, ["note_id", "version"]).groupBy("note_id", "version").agg(F.max("b").alias("b"))
+    kept = same.select("note_id", F.when(F.col("version") != NO_VERSION, F.col("version")).alias("version"), F.lit(None).cast("long").alias("decided_by"), *[F.col(f"b.{c}").cast(t).alias(c) for c, t in (x.split() for x in NOTE_FIELDS.split(",")) if c != "id"])
+    return changed.select("note_id", "version", "decided_by", *[f"b.{c}" for c in cols if c != "id"]).unionByName(kept)

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from leafmill.operators import changefeed
-from leafmill.streaming import keyed, notes
+from leafmill.streaming import notes
 
 
 def run_stream(spark, df, tmp_path, name, schema=None, mode="append"):
@@ -23,32 +23,6 @@ def events_of(spark, tmp_path, rows, schema, files=3):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
 
 
-def test_steps_by_hand():
-    calls = [{"at": float(t)} for t in (0, 0, 0, 0, 1, 1)]
-    assert [a for a, _ in keyed.fold(calls, keyed.token_bucket(1.0, 3))] == [True, True, True, False, True, False]
-    ok = lambda t, x: {"at": float(t), "ok": x}
-    seen = keyed.fold([ok(0, False), ok(1, False), ok(2, True), ok(11, False), ok(12, True), ok(22, True), ok(23, True)], keyed.circuit_breaker(2, 10))
-    assert [s for s, _ in seen] == ["closed", "closed", "open", "half_open", "open", "half_open", "closed"]
-    e = lambda t, f, s: {"at": float(t), "fingerprint": f, "status": s}
-    got = keyed.fold([e(0, "a", 0), e(1, "a", 200), e(130, "a", 500), e(131, "a", 200), e(132, "a", 200), e(133, "b", 200), e(100_000, "b", 200)], keyed.repeated_request(86400, 120))
-    assert [s for s, _ in got] == ["started", "in_progress", "released", "done", "replayed", "conflict", "done"]
-    got = keyed.fold([ok(0, True), ok(5, False), ok(15, False), ok(40, False), ok(41, True)], keyed.cache_access(10, 20))
-    assert [s for s, _ in got] == ["miss", "hit", "stale", "error", "miss"]
-
-
-def test_stream_equals_fold(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [(rng.choice(["hot", "a", "b"]), i, i * 0.3 + rng.random() * 0.01) for i in range(240)]
-    stream = events_of(spark, tmp_path, rows, "k string, seq long, at double")
-    step = keyed.token_bucket(0.5, 4)
-    got = run_stream(spark, keyed.fold_stream(stream, "k", step, "tokens double, at double", "allowed boolean, retry_after double"), tmp_path, "bucket")
-    want = {}
-    for k in ("hot", "a", "b"):
-        mine = [{"seq": s, "at": t} for x, s, t in rows if x == k]
-        want |= {(k, e["seq"]): o[0] for e, o in zip(mine, keyed.fold(mine, step))}
-    assert {(r.k, r.seq): r.allowed for r in got} == want and len(got) == len(rows)
-
-
 def test_repeated_messages_in_a_stream(spark, tmp_path):
     rows = [(f"{'AB-' if i % 2 else 'ab'}{i // 2}", i) for i in range(60)]
     stream = events_of(spark, tmp_path, rows, "id string, n long").withColumn("at", F.timestamp_seconds("n"))
@@ -58,7 +32,7 @@ def test_repeated_messages_in_a_stream(spark, tmp_path):
 
 def test_state_table_follows_the_feed(spark, tmp_path):
     rng = random.Random(9)
-    rows = [(i, f"e{i % 150}", rng.choice(["note.upserted", "note.deleted"]), json.dumps({"id": f"n{rng.randint(0, 12)}", "updated_at": rng.randint(0, 20)}) if i % 17 else "{", rng.choice([0, 5])) for i in range(150)]
+    rows = [(i, f"e{i * 7 % 110}", rng.choice(["note.upserted", "note.deleted"]), json.dumps({"id": f"n{rng.randint(0, 12)}", "updated_at": rng.randint(0, 20)}) if i % 17 else "{", rng.choice([0, 5])) for i in range(150)]
     schema = "seq long, event_id string, type string, payload string, attempts int"
     stream = events_of(spark, tmp_path, rows, schema)
     state, dead = str(tmp_path / "state"), str(tmp_path / "dead")
@@ -88,3 +62,27 @@ def test_messages_repeated_in_later_batches_count_once(spark, tmp_path):
     want = changefeed.fold(changefeed.read_changes(spark.createDataFrame(rows, schema)))
     got = {(r.note_id, r.version, r.seq) for r in notes.latest(spark, str(tmp_path / "state")).collect()}
     assert got == {(r.note_id, r.version, r.seq) for r in want.collect()} == {("n", 1, 6), ("m", 2, 7)}
+
+
+def test_snapshot_displaced_messages_and_log(spark, tmp_path):
+    """Copies in later batches with lower and higher seq, also under another note's id, over a snapshot: the state is that of one batch."""
+    rng = random.Random(4)
+    schema = "seq long, event_id string, type string, payload string, attempts int"
+    rows = [(i, f"m{rng.randint(0, 30)}", rng.choice(["note.upserted", "note.deleted"]), json.dumps({"id": f"n{rng.randint(0, 5)}", "updated_at": rng.randint(0, 6)}), 0) for i in range(90)]
+    rng.shuffle(rows)
+    rows = [(95, "moved", "note.upserted", '{"id": "gone", "updated_at": 1}', 0), *rows[:-2], (94, "moved", "note.upserted", '{"id": "n1", "updated_at": 1}', 0)]
+    base = spark.createDataFrame([("n0", 6, 1, changefeed.BASE_SEQ), ("old", 3, 0, changefeed.BASE_SEQ)], "note_id string, version long, is_delete int, seq long")
+    folder = str(tmp_path / "state")
+    notes.start(spark, folder, base)
+    apply = notes.apply_batch(spark, folder)
+    for n in range(3):
+        apply(spark.createDataFrame(rows[30 * n : 30 * n + 30], schema), n)
+    apply(spark.createDataFrame(rows[60:], schema), 2)  # run again
+    want = changefeed.fold(base, changefeed.read_changes(spark.createDataFrame(rows, schema)))
+    state = {tuple(r) for r in notes.latest(spark, folder).collect()}
+    assert state == {tuple(r) for r in want.collect()}
+    log = spark.read.parquet(f"{folder}/log").collect()
+    newest = {}
+    for r in log:
+        newest[r.note_id] = max(newest.get(r.note_id, (-1,)), (r.batch, r.version, r.seq))
+    assert {(k, v[1], v[2]) for k, v in newest.items()} == {(n, v, s) for n, v, d, s in state if n != "old"} | {("gone", 1, 95)} - {("n0", 6, changefeed.BASE_SEQ)}
