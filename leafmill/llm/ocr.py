@@ -2,8 +2,10 @@
 
 1. One pass counts the words of all pages. Words seen LEAST times are known, at every size of the input, without those that are a
    misreading of a far more frequent one.
-2. A second pass takes each page as a whole. Lines that hold the page number, the running title or an
-   issuer's line are furniture. A word cut at a line's end and the next line of running text are a case, and so is every word that is
+   Another counts, by document, the lines of its pages without page numbers, in a form that is the same for usual misreadings: those that stand
+   on a good part of the pages are its running headers and footers, whatever they say.
+2. A further pass takes each page as a whole. Lines that repeat in this way, hold the page number, or are the document's title or a run of its words
+   are furniture. A word cut at a line's end and the next line of running text are a case, and so is every word that is
    not known.
 3. Each distinct word of the cases is looked up once: the automaton of its misreadings is intersected with tries of the known words.
    A broken word is joined if the joined word, and not the compound with the hyphen, is known. Of several candidates for a misread word
@@ -15,7 +17,7 @@ Known words, cases and candidates are tables; words meet tries of at most about
 most frequent HOT words go to all tasks, to keep certain cases out of the joins; what is rarer is joined, so nothing depends on them.
 Pages are read again rather than shuffled, except to apply the repairs.
 
-Cases: null and empty pages have no lines to repair; a null title or page number only switches off the
+Cases: null and empty pages have no lines to repair; a null title, page number or document only switches off the
 rules that need it; repeated pages are repaired alike, and reported once; very long pages are like others; an
 empty table has an empty vocabulary and result; other columns pass through `repaired` unchanged.
 """
@@ -30,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,11 @@ SHARD, QUERIES, HOT = 100_000, 20_000, 200_000
 #: A word is taken for a misreading if its printed form is so many times as frequent; fewer if it has digits or signs in it.
 RATIO, RATIO_ODD = 20, 2
 
+#: A line repeats if it stands on so many pages of its document, and on such a share of them.
+REPEATS, REPEAT_SHARE = 3, 0.2
+#: Characters of a line with nothing but a page number and marks or words for "page" about it, at most.
+NUMBER_LINE = 24
+
 # Marks at which typesetting breaks words, and what may surround a word.
 BREAKS = "-¬\xad‐"
 AROUND = " \t.,;:?()[]{}\"'“”‘’«»…—–/\\*•·<>="
@@ -52,7 +60,6 @@ _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _KNOWN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _DIGITS = str.maketrans("oOlI|i!sS$bBgqzZ", "0011111555689922")
 _YEAR = re.compile(r"(?:19|20)\d\d")
-_LABEL = re.compile(r"(?:vol\W|no\W|nr\W|issue\W|part\W).*[\divxl]", re.I)
 _FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("ci", "d"), ("fi", "d"), ("ii", "u"), ("h", "u"), ("mm", "m")]
 
 
@@ -91,22 +98,21 @@ def year_of(word: str) -> str | None:
 
 
 @lru_cache(maxsize=4096)
-def _title_forms(title: str) -> tuple[str, frozenset[str], list[str]]:
-    """Folded: a title, all its runs of three and more words, and the title without its first or last word."""
+def _title_forms(title: str) -> frozenset[str]:
+    """Folded: a title, and all its runs of three and more words."""
     words = title.split()
-    runs = frozenset(fold(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 3, len(words) + 1))
-    cores = [fold(" ".join(words[a:b])) for a, b in ((0, None), (1, -1), (1, None), (0, -1))] if len(words) >= 4 else []
-    return fold(title), runs, cores
+    return frozenset([fold(title)] if title else []) | frozenset(fold(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 3, len(words) + 1))
 
 
 class PageMarks:
-    """Recognises the furniture lines of one page by its number and its document's title."""
+    """Recognises the furniture lines of one page by its number, its document's title and the lines that repeat in its document."""
 
-    def __init__(self, title: str | None, page: int | None) -> None:
+    def __init__(self, title: str | None, page: int | None, repeated: frozenset[int] = frozenset()) -> None:
         self.page = page
-        self.numbers = set() if page is None else {str(page), roman(page) if 0 < page < 200 else str(page)}
-        self.roman = fold(roman(page)) if page is not None and 0 < page < 200 else ""
-        self.title, self.parts, self.cores = _title_forms(title or "")
+        self.numbers = set() if page is None else {str(page), roman(page) or str(page)}
+        self.roman = fold(roman(page)) if page is not None else ""
+        self.titles = _title_forms(title or "")
+        self.repeated = repeated
 
     def is_number(self, w: str) -> bool:
         w = w.strip("-–—[]().|/ ").lower()
@@ -124,7 +130,7 @@ class PageMarks:
     def bare(self, s: str) -> str | None:
         """'sure' if a line is the page number with marks or words about it, 'maybe' if a lone number, None otherwise."""
         t = s.strip()
-        if len(t) > 24 or self.page is None:
+        if len(t) > NUMBER_LINE or self.page is None:
             return None
         if re.fullmatch(r"(?i)\W*(?:page|p\.?|pg\.?|seite|ukurasa)\s*(\S+?)(?:\s*(?:of|/|de|sur|ya)\s*\S+)?\W*", t):
             inner = re.fullmatch(r"(?i)\W*[a-z]+\.?\s*(\S+?)(?:\s*(?:of|/|de|sur|ya)\s*\S+)?\W*", t)
@@ -135,27 +141,14 @@ class PageMarks:
             return "sure"
         return "maybe" if self.is_number(t.rstrip(".")) and not t[0] in "[(" else None
 
-    def titled(self, s: str) -> bool:
-        """Whether a line is a running title, or the line of an issuer, with or without the number."""
-        rest, numbered = self.split_number(s)
-        if not rest or len(rest) > 120:
-            return False
-        f = fold(rest)
-        if f in self.parts or self.title and f == self.title:
-            return True
-        if numbered and len(f) >= 5 and any(c.startswith(f) for c in self.cores):
-            return True
-        for c in self.cores[1:2]:
-            if len(c) >= 12 and f.endswith(c) and len(f) - len(c) <= 30:
-                return True
-        pieces = re.split(r"\s+[–—|]\s+|\s{2,}", rest)
-        if numbered and len(pieces) >= 2 and re.search(r"\s[–—|]\s", s) and not re.search(r"[.;]\s", rest.replace("Vol.", "").replace("No.", "")) and len(rest) <= 90:
-            return True
-        if len(pieces) == 2 and re.search(r"\S\s{2,}\S", rest) and len(rest) <= 90:
-            a, b = pieces
-            capital = all(w[:1].isupper() or w in ("for", "of", "and", "on") for w in b.split()) and len(b.split()) >= 2 and not re.search(r"\d", b)
-            return capital and (bool(_LABEL.match(a)) or len(a.split()) <= 3 and a[:1].isupper())
-        return False
+    def form(self, s: str) -> str:
+        """A line without the page number, folded."""
+        return fold(self.split_number(s)[0])
+
+    def runs(self, s: str) -> bool:
+        """Whether a line is a running header or footer, with or without the number."""
+        f = self.form(s)
+        return bool(f) and (f in self.titles or xxhash.xxh64_intdigest(f) - 2**63 in self.repeated)
 
 
 def furniture(lines: list[str], words: list[list[str]], marks: PageMarks) -> list[bool]:
@@ -164,13 +157,10 @@ def furniture(lines: list[str], words: list[list[str]], marks: PageMarks) -> lis
     out = [False] * n
     maybe = []
     for k in range(n):
-        ws = words[k]
-        if not ws or len(ws) > 16 or len(ws) > 4 and ws[0][0].islower() and ws[0] not in marks.numbers:
-            continue
-        if sum(1 for w in ws if w[0].islower()) > 4:
+        if not words[k]:
             continue
         kind = marks.bare(lines[k])
-        if kind == "sure" or kind is None and marks.titled(lines[k]):
+        if kind == "sure" or kind is None and marks.runs(lines[k]):
             out[k] = True
         elif kind == "maybe":
             maybe.append(k)
@@ -239,12 +229,41 @@ def meet(asked: DataFrame, known: DataFrame, edits: bool, keep: Callable[[str, i
     return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, "word string, found string, cost int, n long, listed boolean")
 
 
-def lines_of(text: str, title: str | None, page: int | None) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """(doc, repeated): hashes of the folded lines that repeat on the pages (doc, text, title, page) of each document; at most as many as a page has
+    lines, divided by REPEAT_SHARE."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[tuple[str, int | None]] = Counter()
+
+        def flush() -> pd.DataFrame:
+            got = pd.DataFrame({"doc": pd.Series([d for d, _ in held], dtype=object), "form": pd.Series([f for _, f in held], dtype="Int64"), "n": pd.Series(list(held.values()), dtype="int64")})
+            held.clear()
+            return got
+
+        for b in batches:
+            for doc, (text, title, page, _) in zip(b["doc"], _batches(b)):
+                if text:
+                    marks = PageMarks(title, page)
+                    held[doc, None] += 1
+                    held.update({(doc, xxhash.xxh64_intdigest(f) - 2**63) for f in map(marks.form, text.split("\n")) if f})
+            if len(held) > 300_000:
+                yield flush()
+        yield flush()
+
+    counted = pages.where("doc IS NOT NULL").select("doc", "text", "title", "page", F.lit(None).cast("array<long>").alias("repeated")).mapInPandas(count, "doc string, form long, n long")
+    counted = counted.groupBy("doc", "form").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("form").isNotNull() & (F.col("n") >= REPEATS))
+    whole = counted.where("form IS NULL").select("doc", F.col("n").alias("n_pages"))
+    return often.join(whole, "doc").where(F.col("n") >= REPEAT_SHARE * F.col("n_pages")).groupBy("doc").agg(F.collect_set("form").alias("repeated"))
+
+
+def lines_of(text: str, title: str | None, page: int | None, repeated: frozenset[int] = frozenset()) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
     """Lines, their tokens, furniture, pairs of lines with a word or compound broken between them, and (line, first, end) of the whole
     tokens of running text."""
     lines = text.split("\n")
     words = [x.split() for x in lines]
-    out = furniture(lines, words, PageMarks(title, page))
+    out = furniture(lines, words, PageMarks(title, page, repeated))
     running = [k for k in range(len(lines)) if words[k] and not out[k]]
     breaks = [(k, m) for k, m in zip(running, running[1:]) if words[k][-1][-1] in BREAKS and len(words[k][-1]) > 1]
     ended, begun = {k for k, _ in breaks}, {m for _, m in breaks}
@@ -283,7 +302,7 @@ _CASE = "line_no long, token int, kind string, word string, a string, b string,
 
 
 def cases(pages: DataFrame, sure: dict[str, int]) -> DataFrame:
-    """(who, and the columns of _CASE) of pages (who, text, title, page): what stands on a page for repair. Settled cases have their
+    """(who, and the columns of _CASE) of pages (who, text, title, page, repeated): what stands on a page for repair. Settled cases have their
     outcome in `word`. Others are halves `a` and `b` of a broken word with their mark, or a word that may be misread between
     its neighbours `a` and `b`."""
     known = pages.sparkSession.sparkContext.broadcast(sure)
@@ -294,10 +313,10 @@ def cases(pages: DataFrame, sure: dict[str, int]) -> DataFrame:
         right: set[str] = set()
         for batch in batches:
             out: list[tuple] = []
-            for who, (text, title, page) in zip(batch["who"].tolist(), _batches(batch)):
+            for who, (text, title, page, repeated) in zip(batch["who"].tolist(), _batches(batch)):
                 if not text:
                     continue
-                _, words, gone, breaks, running = lines_of(text, title, page)
+                _, words, gone, breaks, running = lines_of(text, title, page, repeated)
                 out += [(who, k, -2, "furniture", "", None, None, None, True) for k, g in enumerate(gone) if g]
                 for k, m in breaks:
                     last = words[k][-1]
@@ -407,9 +426,9 @@ def put_right(token: str, word: str) -> str:
     return token[:a] + new + token[a + len(core) :]
 
 
-def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple[int, int], str]) -> str:
+def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple[int, int], str], repeated: frozenset[int] = frozenset()) -> str:
     """The page as paragraphs separated by empty lines, with its `repairs` by line and token, -1 for a broken word."""
-    lines, words, out, breaks, _ = lines_of(text, title, page)
+    lines, words, out, breaks, _ = lines_of(text, title, page, repeated)
     broken = {k: repairs[k, -1] for k, _ in breaks if (k, -1) in repairs}
     continued = {m: k for k, m in breaks if k in broken}
     glued = {m for k, m in breaks if k not in broken and words[m][0].strip(AROUND).lower() not in AFTER_SUSPENDED}
@@ -544,33 +563,62 @@ def neighbour_counts(pages: DataFrame, wanted: DataFrame, text_col: str = "text"
     return got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _batches(b: pd.DataFrame) -> list[tuple[str | None, str | None, int | None]]:
-    return [(t, s, None if pd.isna(p) else int(p)) for t, s, p in zip(b["text"], b["title"], b["page"])]
+def _batches(b: pd.DataFrame) -> list[tuple[str | None, str | None, int | None, frozenset[int]]]:
+    known: dict[bytes, frozenset[int]] = {}
+
+    def held(r: np.ndarray | None) -> frozenset[int]:
+        if r is None or len(r) == 0:
+            return frozenset()
+        key = np.asarray(r).tobytes()
+        if key not in known:
+            known[key] = frozenset(int(x) for x in r)
+        return known[key]
+
+    return [(t, s, None if pd.isna(p) else int(p), held(r)) for t, s, p, r in zip(b["text"], b["title"], b["page"], b["repeated"])]
+
+
+def _doc(pages: DataFrame, doc_col: str) -> Column:
+    """The document's key; null, so that nothing repeats, in tables without one."""
+    return F.col(doc_col).cast("string") if doc_col in pages.columns else F.lit(None).cast("string")
+
+
+def _marked(pages: DataFrame, columns: dict[str, str], **more: Column) -> DataFrame:
+    """(text, title, page, doc, repeated, and `more`) of pages, with the lines that repeat in their documents."""
+    cols = pages.select(*[F.col(columns[c]).alias(c) for c in ("text", "title", "page")], _doc(pages, columns["doc"]).alias("doc"), *[v.alias(k) for k, v in more.items()])
+    return cols.join(materialise(repeated_lines(cols)), "doc", "left")
+
+
+def _found(pages: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
+    """The outcome of all cases of pages (who, text, title, page, repeated)."""
+    known = vocabulary or learn(pages)
+    return settled(materialise(cases(pages, known.hot())), known.words, pages)
 
 
-def _found(pages: DataFrame, who: Column, vocabulary: Vocabulary | None, text_col: str, title_col: str, page_col: str) -> DataFrame:
-    known = vocabulary or learn(pages, text_col)
-    cols = pages.select(who.alias("who"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(page_col).alias("page"))
-    return settled(materialise(cases(cols, known.hot())), known.words, cols)
+def _columns(text_col: str, title_col: str, page_col: str, doc_col: str) -> dict[str, str]:
+    return {"text": text_col, "title": title_col, "page": page_col, "doc": doc_col}
 
 
-def repairs(pages: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "id", text_col: str = "text", title_col: str = "doc_title", page_col: str = "page") -> DataFrame:
+def repairs(
+    pages: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "id", text_col: str = "text", title_col: str = "doc_title", page_col: str = "page", doc_col: str = "doc"
+) -> DataFrame:
     """(id, line_no, kind, repaired): every repair, once."""
-    found = _found(pages, F.col(id_col), vocabulary, text_col, title_col, page_col)
+    found = _found(_marked(pages, _columns(text_col, title_col, page_col, doc_col), who=F.col(id_col)), vocabulary)
     return found.select(F.col("who").alias("id"), "line_no", "kind", F.col("word").alias("repaired")).distinct()
 
 
-def repaired(pages: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", title_col: str = "doc_title", page_col: str = "page") -> DataFrame:
+def repaired(pages: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", title_col: str = "doc_title", page_col: str = "page", doc_col: str = "doc") -> DataFrame:
     """`pages` with the text of scanned pages repaired and reflowed."""
-    same = [F.col(text_col), F.col(title_col), F.col(page_col)]
+    same = [F.col(text_col), F.col(title_col), F.col(page_col), _doc(pages, doc_col)]
     who = F.concat_ws(" ", F.hex(F.xxhash64(*same)), F.hex(F.xxhash64(F.lit(1), *same)))  # pages that are alike are repaired alike
-    found = _found(pages, who, vocabulary, text_col, title_col, page_col)
-    each = found.groupBy("who").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("__repairs"))
+    marked = _marked(pages, _columns(text_col, title_col, page_col, doc_col), who=who)
+    each = _found(marked, vocabulary).groupBy("who").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("__repairs"))
+    each = each.join(marked.select("who", F.col("repeated").alias("__repeated")).dropDuplicates(["who"]), "who")
 
     @F.pandas_udf("string")
-    def fix(text: pd.Series, title: pd.Series, page: pd.Series, repairs: pd.Series) -> pd.Series:
-        b = pd.DataFrame({"text": text, "title": title, "page": page})
-        return pd.Series([t if r is None else reflowed(t, s, p, {(x["line_no"], x["token"]): x["word"] for x in r}) for (t, s, p), r in zip(_batches(b), repairs)], dtype=object)
+    def fix(text: pd.Series, title: pd.Series, page: pd.Series, repeated: pd.Series, repairs: pd.Series) -> pd.Series:
+        b = pd.DataFrame({"text": text, "title": title, "page": page, "repeated": repeated})
+        return pd.Series([t if r is None else reflowed(t, s, p, {(x["line_no"], x["token"]): x["word"] for x in r}, m) for (t, s, p, m), r in zip(_batches(b), repairs)], dtype=object)
 
     rows = pages.withColumn("who", who).join(each, "who", "left")
-    return rows.withColumn(text_col, F.when(F.col("__repairs").isNull(), F.col(text_col)).otherwise(fix(*same, F.col("__repairs")))).select(*pages.columns)
+    fixed = fix(*same[:3], F.col("__repeated"), F.col("__repairs"))
+    return rows.withColumn(text_col, F.when(F.col("__repairs").isNull(), F.col(text_col)).otherwise(fixed)).select(*pages.columns)

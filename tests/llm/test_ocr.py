@@ -130,3 +130,14 @@ def test_all_edits_within_the_cost_are_looked_for(spark):
     got = {(r.word, r.found): (r.cost, r.listed) for r in ocr.candidates(spark.createDataFrame([("pxogrzmme",), ("cian",), ("ctian",)], "word string"), known).collect()}
     assert got[("pxogrzmme", "programme")] == (4, False)  # two plain edits
     assert got[("cian", "clan")] == (1, True) and got[("ctian", "clan")] == (3, False)
+
+
+def test_lines_that_repeat_in_a_document_are_furniture(spark):
+    """Whatever they say, with page numbers and misreadings; on fewer pages, and in other documents, the same line is text."""
+    head = lambda p: [f"Harbour Office Circular   {p}", f"Harbour 0ffice CircuIar  {p}", f"{p} – Harbour Office Circular"][p % 3]
+    rows = [(f"a{p}", "a", None, p, f"{head(p)}\nThe gate number {p * 17} is open.\nSeldom said." if p < 3 else f"{head(p)}\nThe gate {p * 13} is shut.") for p in range(1, 12)]
+    rows += [("b1", "b", None, 1, "Harbour Office Circular 1\nThe gate."), ("n1", None, None, 1, "Harbour Office Circular 1\nThe gate.")]
+    df = spark.createDataFrame(rows, "id string, doc string, doc_title string, page int, text string")
+    got = {(r.id, r.line_no) for r in ocr.repairs(df).where("kind = 'furniture'").collect()}
+    assert got == {(f"a{p}", 0) for p in range(1, 12)}
+    assert {r.text for r in ocr.repaired(df).where("id IN ('a1', 'b1')").collect()} == {"The gate number 17 is open. Seldom said.", "Harbour Office Circular 1\nThe gate."}
