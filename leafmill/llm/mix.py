@@ -43,6 +43,8 @@ SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 UNIT = 1 << 20
 #: Sources in the table of targets; it is sent to every task.
 MAX_SOURCES = 10_000
+#: Newton steps at most, and how far from its goal a source may be after them, as a share of the goal.
+STEPS, FAR_OFF = 60, 1e-3
 #: As a total: as many tokens as the wanted sources have.
 AVAILABLE = "available"
 
@@ -100,8 +102,9 @@ def sized_documents(documents: DataFrame, wanted: dict[str, Source], id_col: str
     return materialise(sized.where("tokens > 0").select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", "tokens"))
 
 
-def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None = None, tolerance: float = 1e-7, steps: int = 60) -> float:
-    """Sets goal, lam and full of each source by Newton steps on the dual; returns the rate all documents start from."""
+def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None = None, tolerance: float = 1e-7, steps: int = STEPS) -> float:
+    """Sets goal, lam and full of each source by Newton steps on the dual; returns the rate all documents start from. If a source is still FAR_OFF its goal
+    after the last step, that is an error."""
     for r in sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).collect():
         sources[r.source].docs, sources[r.source].tokens = r.docs, r.tokens
     live = {k: s for k, s in sources.items() if s.docs}
@@ -115,7 +118,7 @@ def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None
         s.goal = float(min(s.share / held * size, s.cap * s.tokens))
         s.full = s.goal >= s.cap * s.tokens * (1 - 1e-12)
     low, high = dict.fromkeys(live, -float("inf")), dict.fromkeys(live, float("inf"))
-    open_ = {k for k, s in live.items() if not s.full}
+    open_, off = {k for k, s in live.items() if not s.full}, {}
     for _ in range(steps):
         if not open_:
             break
@@ -124,6 +127,7 @@ def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None
             .groupBy("source").agg(F.sum(F.col("rate") * F.col("tokens")).alias("got"), F.sum(F.when(F.col("rate") < F.col("cap"), F.col("rate") * F.col("tokens") * F.col("x")).otherwise(0.0)).alias("slope")).collect()
         ):
             s, gap = live[r.source], r.got - live[r.source].goal
+            off[r.source] = abs(gap) / s.goal
             if abs(gap) <= tolerance * s.goal:
                 open_.discard(r.source)
                 continue
@@ -136,6 +140,9 @@ def solve(sized: DataFrame, sources: dict[str, Source], total: int | str | None
             if not low[r.source] < new < high[r.source]:
                 new = (low[r.source] + high[r.source]) / 2 if low[r.source] > -float("inf") and high[r.source] < float("inf") else s.lam + (4 if gap < 0 else -4)
             s.lam = new
+    far = {k: x for k, x in off.items() if k in open_ and x > FAR_OFF}
+    if far:
+        raise RuntimeError(f"rates did not converge in {steps} steps: {far}")
     return rate
 
 

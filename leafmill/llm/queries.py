@@ -63,12 +63,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-@LLM.query("p6_matches")
+_PLACED = """SELECT {id}, k, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS k
+    FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {table}) WHERE len(w) >= 12)"""
+
+
+@LLM.query(
+    "p6_matches",
+    f"""WITH h AS (SELECT DISTINCT doc_id AS doc, item_id AS item, d.k - 1 AS p, i.k - 1 AS q FROM ({_PLACED.format(id='doc_id', table='documents')}) d JOIN ({_PLACED.format(id='item_id', table='benchmark')}) i USING (g)),
+    r AS (SELECT *, p - row_number() OVER (PARTITION BY doc, item, p - q ORDER BY p) AS run FROM h)
+    SELECT doc, item, min(p) AS doc_word, min(q) AS item_word, count(*) + 11 AS n_words FROM r GROUP BY doc, item, p - q, run""",
+)
 def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@LLM.query("p6_clean")
+@LLM.query("p6_clean", f"SELECT doc_id, source, kind, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) JOIN ({_GRAMS.format(id='item_id', table='benchmark')}) USING (g))")
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "source", "kind", "lang")
 
@@ -78,6 +87,12 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.collection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+@LLM.query("p7_mix_of_available")
+def p7_mix_of_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection as large as the wanted sources: most documents are used, many more than once."""
+    return mix.collection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mix.AVAILABLE)
+
+
 @LLM.query("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))

@@ -78,3 +78,21 @@ def test_token_counter(spark):
 
     df = spark.createDataFrame([("hello world",), (None,), ("",), ("<|endoftext|>",)], "t string")
     assert [r.n for r in df.select(mix.token_counter()("t").alias("n")).collect()] == [2, 0, 0, 7]
+
+
+def test_rates_that_do_not_converge_are_an_error(spark):
+    docs, targets = make(spark)
+    sources = mix.read_targets(targets)
+    sized = mix.sized_documents(docs, sources)
+    with pytest.raises(RuntimeError, match="converge"):
+        mix.solve(sized, sources, 3000, steps=1)
+
+
+def test_a_collection_of_all_there_is(spark, data_dir):
+    """Most documents are used; no cap is broken, and every source is within a document of its goal."""
+    docs, targets = spark.read.parquet(f"{data_dir}/documents.parquet"), spark.read.parquet(f"{data_dir}/mix_targets.parquet")
+    chosen, sources = mix.mixed(docs, targets, mix.AVAILABLE)
+    rows = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("t"), F.max("tokens").alias("largest"), F.max(F.col("copies") - F.col("cap")).alias("over"), F.count_if(F.col("copies") > 0).alias("used"), F.count("*").alias("n"), F.min("copies").alias("least")).collect()
+    assert sum(r.used for r in rows) > 0.5 * sum(r.n for r in rows)
+    for r in rows:
+        assert r.over <= 0 and r.least >= 0 and abs(r.t - sources[r.source].goal) <= r.largest
