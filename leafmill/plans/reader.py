@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import changefeed, insights, notebook, structure, telemetry
+from leafmill.operators import answers, changefeed, insights, notebook, structure, telemetry
 from leafmill.plans.notes import _OUTCOME_SQL, _stored
 from leafmill.plans.reading import _SPACE, sql_squash, sql_tokens
 from leafmill.plans.registry import Registry
@@ -312,3 +312,33 @@ def web_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored answers as HTML."""
     return _stored(spark, sf_dir).where("answer IS NOT NULL").select("id", T.markdown_html(F.col("answer")).alias("html"))
+
+
+_YOURS_SQL = "CASE WHEN coalesce(comment, '') <> '' THEN chr(10) || chr(10) || '**My note:** ' || comment ELSE '' END"
+_NESTED_SQL = r"regexp_replace(coalesce(answer, ''), '(?m)^#{1,4}\s+', '#### ', 'g')"
+_QUOTE_SQL = f"'> ' || {sql_squash('selection')}"
+_GAP = "chr(10) || chr(10)"
+
+
+@READER.query(
+    "research_brief",
+    rf"""WITH t AS (SELECT doc, arg_min(doc_title, page) AS title, coalesce(list_position(['strategy', 'roadmap', 'bill', 'digest'], regexp_replace(doc, '\d+$', '')), 999) AS place FROM chunks GROUP BY doc),
+    n AS (SELECT x.* EXCLUDE (doc), regexp_replace(x.doc, '^\s+|\s+$', '', 'g') AS doc, coalesce(created_at, ts * 1000) AS made FROM {_STORED_SQL} x WHERE session <> '' AND status = 'done'),
+    d AS (SELECT n.*, title, coalesce(place, 999) AS place FROM n LEFT JOIN t USING (doc)),
+    w0 AS (SELECT session, made, id, from_json(CASE WHEN json_valid(web) AND json_type(web) = 'ARRAY' THEN web ELSE '[]' END, '["JSON"]') AS l FROM d), w1 AS (SELECT session, made, id, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM w0),
+    w AS (SELECT * FROM w1 WHERE r->>'$.url' IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session, r->>'$.url' ORDER BY made, id, i) = 1),
+    l AS (
+      SELECT session, 1 AS part, 0 AS place, '' AS name, 0 AS p, made AS t, id, '### ' || coalesce(selection, '') || {_GAP} || {_NESTED_SQL} || {_YOURS_SQL} AS line FROM d WHERE mode = 'ask'
+      UNION ALL SELECT session, 2, place, doc, -2, -2, '', '### ' || min(coalesce(title, doc_short, '?')) FROM d WHERE mode IN ('highlight', 'note') GROUP BY session, place, doc
+      UNION ALL SELECT session, 2, place, doc, coalesce(page, -1), made, id, '**p.' || coalesce(page::VARCHAR, '?') || '**' || {_GAP} || {_QUOTE_SQL} || {_YOURS_SQL} FROM d WHERE mode IN ('highlight', 'note')
+      UNION ALL SELECT session, 3, place, doc, coalesce(page, -1), made, id, '### ' || CASE mode WHEN 'research' THEN 'Research' ELSE 'Simplified' END || ' — ' || coalesce(doc_short, '') || ', p.' || coalesce(page::VARCHAR, '?') || {_GAP} || {_QUOTE_SQL} || {_GAP} || {_NESTED_SQL} || {_YOURS_SQL} FROM d WHERE mode IN ('research', 'simplify')
+      UNION ALL SELECT session, 4, 0, '', 0, made, id || format(' {{:06d}}', i - 1), '- [' || coalesce(r->>'$.title', '') || '](' || (r->>'$.url') || ') — ' || coalesce(r->>'$.domain', '') || ' · ' || coalesce(r->>'$.tier_label', '') FROM w
+      UNION ALL SELECT session, 5, place, doc, page, 0, '', '- ' || min(coalesce(title, doc_short, '?')) || ' — p. ' || page FROM d WHERE mode <> 'web' AND page IS NOT NULL GROUP BY session, place, doc, page),
+    a AS (SELECT * FROM l UNION ALL SELECT DISTINCT session, part, -1, '', -9, -9, '', ['## Questions', '## Highlights and notes (in reading order)', '## Research notes', '## Sources beyond the documents', '## References'][part] FROM l)
+    SELECT session, part, row_number() OVER (PARTITION BY session, part ORDER BY place, coalesce(name, ''), p, t, id) AS line_no, line FROM a""",
+)
+def research_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brief of every session."""
+    kind = F.array_position(F.array(*[F.lit(d) for d in DOC_ORDER]), F.regexp_replace("doc", r"\d+$", ""))
+    docs = table(spark, sf_dir, "chunks").groupBy("doc").agg(F.min_by("doc_title", "page").alias("title")).select("doc", "title", F.when(kind > 0, kind.cast("int")).alias("place"))
+    return answers.research_brief(_stored(spark, sf_dir), docs)
