@@ -63,11 +63,16 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 _FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("ci", "d"), ("fi", "d"), ("ii", "u"), ("h", "u"), ("mm", "m")]
 
 
+_FIRST = next(k for k, (a, _) in enumerate(_FOLDED) if len(a) > 1)  # single characters before it, none of which yields another of them
+_SINGLE = str.maketrans(dict(_FOLDED[:_FIRST]))
+
+
 def fold(text: str) -> str:
     """A form that is the same for a text and its usual misreadings."""
-    t = "".join(text.lower().split())
-    for a, b in _FOLDED:
-        t = t.replace(a, b)
+    t = "".join(text.lower().translate(_SINGLE).split())
+    for a, b in _FOLDED[_FIRST:]:
+        if a in t:
+            t = t.replace(a, b)
     return t
 
 
@@ -107,12 +112,14 @@ def _title_forms(title: str) -> frozenset[str]:
 class PageMarks:
     """Recognises the furniture lines of one page by its number, its document's title and the lines that repeat in its document."""
 
-    def __init__(self, title: str | None, page: int | None, repeated: frozenset[int] = frozenset()) -> None:
+    def __init__(self, title: str | None, page: int | None, repeated: frozenset[int] = frozenset(), lengths: tuple[int, int] = (0, 0)) -> None:
         self.page = page
         self.numbers = set() if page is None else {str(page), roman(page) or str(page)}
         self.roman = fold(roman(page)) if page is not None else ""
         self.titles = _title_forms(title or "")
         self.repeated = repeated
+        self.shortest, self.longest = lengths
+        self.most_words = len(title.split()) + 2 if title else 0
 
     def is_number(self, w: str) -> bool:
         w = w.strip("-–—[]().|/ ").lower()
@@ -145,8 +152,11 @@ class PageMarks:
         """A line without the page number, folded."""
         return fold(self.split_number(s)[0])
 
-    def runs(self, s: str) -> bool:
-        """Whether a line is a running header or footer, with or without the number."""
+    def runs(self, s: str, n_words: int) -> bool:
+        """Whether a line of `n_words` words is a running header or footer, with or without the number. Only a line as long as one that repeats, or of
+        as few words as the title, needs to be looked at."""
+        if n_words > self.most_words and not (self.repeated and self.shortest <= len(s) <= self.longest):
+            return False
         f = self.form(s)
         return bool(f) and (f in self.titles or xxhash.xxh64_intdigest(f) - 2**63 in self.repeated)
 
@@ -160,7 +170,7 @@ def furniture(lines: list[str], words: list[list[str]], marks: PageMarks) -> lis
         if not words[k]:
             continue
         kind = marks.bare(lines[k])
-        if kind == "sure" or kind is None and marks.runs(lines[k]):
+        if kind == "sure" or kind is None and marks.runs(lines[k], len(words[k])):
             out[k] = True
         elif kind == "maybe":
             maybe.append(k)
@@ -229,41 +239,52 @@ def meet(asked: DataFrame, known: DataFrame, edits: bool, keep: Callable[[str, i
     return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(search, "word string, found string, cost int, n long, listed boolean")
 
 
+Repeated = tuple[frozenset[int], tuple[int, int]]
+NONE: Repeated = (frozenset(), (0, 0))
+
+
 def repeated_lines(pages: DataFrame) -> DataFrame:
-    """(doc, repeated): hashes of the folded lines that repeat on the pages (doc, text, title, page) of each document; at most as many as a page has
-    lines, divided by REPEAT_SHARE."""
+    """(doc, repeated, shortest, longest): hashes of the folded lines that repeat on the pages (doc, text, page) of each document, at most as many as a page
+    has lines, divided by REPEAT_SHARE; and the length of the shortest and longest of these lines as they stand."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[tuple[str, int | None]] = Counter()
+        held: dict[tuple[str, int], list[int]] = {}
 
         def flush() -> pd.DataFrame:
-            got = pd.DataFrame({"doc": pd.Series([d for d, _ in held], dtype=object), "form": pd.Series([f for _, f in held], dtype="Int64"), "n": pd.Series(list(held.values()), dtype="int64")})
+            n, lo, hi = zip(*held.values()) if held else ((), (), ())
+            got = pd.DataFrame({"doc": pd.Series([d for d, _ in held], dtype=object), "form": pd.Series([f for _, f in held], dtype="int64"), "n": pd.Series(n, dtype="int64"), "lo": pd.Series(lo, dtype="int32"), "hi": pd.Series(hi, dtype="int32")})
             held.clear()
             return got
 
         for b in batches:
-            for doc, (text, title, page, _) in zip(b["doc"], _batches(b)):
-                if text:
-                    marks = PageMarks(title, page)
-                    held[doc, None] += 1
-                    held.update({(doc, xxhash.xxh64_intdigest(f) - 2**63) for f in map(marks.form, text.split("\n")) if f})
+            for doc, page, text in zip(b["doc"], b["page"], b["text"]):
+                marks = PageMarks(None, None if pd.isna(page) else int(page))
+                seen: dict[str, list[int]] = {}
+                for line in text.split("\n"):
+                    f = marks.form(line)
+                    if f:
+                        x = seen.setdefault(f, [len(line), len(line)])
+                        x[0], x[1] = min(x[0], len(line)), max(x[1], len(line))
+                for f, (lo, hi) in seen.items():
+                    x = held.setdefault((doc, xxhash.xxh64_intdigest(f) - 2**63), [0, lo, hi])
+                    x[0], x[1], x[2] = x[0] + 1, min(x[1], lo), max(x[2], hi)
             if len(held) > 300_000:
                 yield flush()
         yield flush()
 
-    counted = pages.where("doc IS NOT NULL").select("doc", "text", "title", "page", F.lit(None).cast("array<long>").alias("repeated")).mapInPandas(count, "doc string, form long, n long")
-    counted = counted.groupBy("doc", "form").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("form").isNotNull() & (F.col("n") >= REPEATS))
-    whole = counted.where("form IS NULL").select("doc", F.col("n").alias("n_pages"))
-    return often.join(whole, "doc").where(F.col("n") >= REPEAT_SHARE * F.col("n_pages")).groupBy("doc").agg(F.collect_set("form").alias("repeated"))
+    told = pages.where("doc IS NOT NULL AND text <> ''").select("doc", "page", "text")
+    counted = told.mapInPandas(count, "doc string, form long, n long, lo int, hi int").groupBy("doc", "form").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = told.groupBy("doc").agg(F.count("*").alias("n_pages"))
+    often = counted.where(F.col("n") >= REPEATS).join(whole, "doc").where(F.col("n") >= REPEAT_SHARE * F.col("n_pages"))
+    return often.groupBy("doc").agg(F.collect_set("form").alias("repeated"), F.min("lo").alias("shortest"), F.max("hi").alias("longest"))
 
 
-def lines_of(text: str, title: str | None, page: int | None, repeated: frozenset[int] = frozenset()) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
+def lines_of(text: str, title: str | None, page: int | None, repeated: Repeated = NONE) -> tuple[list[str], list[list[str]], list[bool], list[tuple[int, int]], list[tuple[int, int, int]]]:
     """Lines, their tokens, furniture, pairs of lines with a word or compound broken between them, and (line, first, end) of the whole
     tokens of running text."""
     lines = text.split("\n")
     words = [x.split() for x in lines]
-    out = furniture(lines, words, PageMarks(title, page, repeated))
+    out = furniture(lines, words, PageMarks(title, page, *repeated))
     running = [k for k in range(len(lines)) if words[k] and not out[k]]
     breaks = [(k, m) for k, m in zip(running, running[1:]) if words[k][-1][-1] in BREAKS and len(words[k][-1]) > 1]
     ended, begun = {k for k, _ in breaks}, {m for _, m in breaks}
@@ -426,7 +447,7 @@ def put_right(token: str, word: str) -> str:
     return token[:a] + new + token[a + len(core) :]
 
 
-def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple[int, int], str], repeated: frozenset[int] = frozenset()) -> str:
+def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple[int, int], str], repeated: Repeated = NONE) -> str:
     """The page as paragraphs separated by empty lines, with its `repairs` by line and token, -1 for a broken word."""
     lines, words, out, breaks, _ = lines_of(text, title, page, repeated)
     broken = {k: repairs[k, -1] for k, _ in breaks if (k, -1) in repairs}
@@ -563,18 +584,18 @@ def neighbour_counts(pages: DataFrame, wanted: DataFrame, text_col: str = "text"
     return got.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _batches(b: pd.DataFrame) -> list[tuple[str | None, str | None, int | None, frozenset[int]]]:
+def _batches(b: pd.DataFrame) -> list[tuple[str | None, str | None, int | None, Repeated]]:
     known: dict[bytes, frozenset[int]] = {}
 
-    def held(r: np.ndarray | None) -> frozenset[int]:
+    def held(r: np.ndarray | None, lo: float, hi: float) -> Repeated:
         if r is None or len(r) == 0:
-            return frozenset()
+            return NONE
         key = np.asarray(r).tobytes()
         if key not in known:
             known[key] = frozenset(int(x) for x in r)
-        return known[key]
+        return known[key], (int(lo), int(hi))
 
-    return [(t, s, None if pd.isna(p) else int(p), held(r)) for t, s, p, r in zip(b["text"], b["title"], b["page"], b["repeated"])]
+    return [(t, s, None if pd.isna(p) else int(p), held(*r)) for t, s, p, *r in zip(*(b[c] for c in ("text", "title", "page", "repeated", "shortest", "longest")))]
 
 
 def _doc(pages: DataFrame, doc_col: str) -> Column:
@@ -583,7 +604,7 @@ def _doc(pages: DataFrame, doc_col: str) -> Column:
 
 
 def _marked(pages: DataFrame, columns: dict[str, str], **more: Column) -> DataFrame:
-    """(text, title, page, doc, repeated, and `more`) of pages, with the lines that repeat in their documents."""
+    """(text, title, page, doc, repeated, shortest, longest, and `more`) of pages, with the lines that repeat in their documents."""
     cols = pages.select(*[F.col(columns[c]).alias(c) for c in ("text", "title", "page")], _doc(pages, columns["doc"]).alias("doc"), *[v.alias(k) for k, v in more.items()])
     return cols.join(materialise(repeated_lines(cols)), "doc", "left")
 
@@ -612,13 +633,13 @@ def repaired(pages: DataFrame, vocabulary: Vocabulary | None = None, text_col: s
     who = F.concat_ws(" ", F.hex(F.xxhash64(*same)), F.hex(F.xxhash64(F.lit(1), *same)))  # pages that are alike are repaired alike
     marked = _marked(pages, _columns(text_col, title_col, page_col, doc_col), who=who)
     each = _found(marked, vocabulary).groupBy("who").agg(F.collect_set(F.struct("line_no", "token", "word")).alias("__repairs"))
-    each = each.join(marked.select("who", F.col("repeated").alias("__repeated")).dropDuplicates(["who"]), "who")
+    each = each.join(marked.select("who", F.struct("repeated", "shortest", "longest").alias("__repeated")).dropDuplicates(["who"]), "who")
 
     @F.pandas_udf("string")
-    def fix(text: pd.Series, title: pd.Series, page: pd.Series, repeated: pd.Series, repairs: pd.Series) -> pd.Series:
-        b = pd.DataFrame({"text": text, "title": title, "page": page, "repeated": repeated})
+    def fix(text: pd.Series, title: pd.Series, page: pd.Series, repeated: pd.Series, shortest: pd.Series, longest: pd.Series, repairs: pd.Series) -> pd.Series:
+        b = pd.DataFrame({"text": text, "title": title, "page": page, "repeated": repeated, "shortest": shortest, "longest": longest})
         return pd.Series([t if r is None else reflowed(t, s, p, {(x["line_no"], x["token"]): x["word"] for x in r}, m) for (t, s, p, m), r in zip(_batches(b), repairs)], dtype=object)
 
     rows = pages.withColumn("who", who).join(each, "who", "left")
-    fixed = fix(*same[:3], F.col("__repeated"), F.col("__repairs"))
+    fixed = fix(*same[:3], *[F.col(f"__repeated.{c}") for c in ("repeated", "shortest", "longest")], F.col("__repairs"))
     return rows.withColumn(text_col, F.when(F.col("__repairs").isNull(), F.col(text_col)).otherwise(fixed)).select(*pages.columns)
