@@ -60,10 +60,10 @@ _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _KNOWN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _DIGITS = str.maketrans("oOlI|i!sS$bBgqzZ", "0011111555689922")
 _YEAR = re.compile(r"(?:19|20)\d\d")
-_FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("ci", "d"), ("fi", "d"), ("ii", "u"), ("h", "u"), ("mm", "m")]
+_FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("h", "ii"), ("u", "ii"), ("d", "ci"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("fi", "ci"), ("mm", "m")]
 
 
-_FIRST = next(k for k, (a, _) in enumerate(_FOLDED) if len(a) > 1)  # single characters before it, none of which yields another of them
+_FIRST = next(k for k, (a, _) in enumerate(_FOLDED) if len(a) > 1)  # before it single characters, all at once
 _SINGLE = str.maketrans(dict(_FOLDED[:_FIRST]))
 
 
@@ -76,6 +76,9 @@ def fold(text: str) -> str:
     return t
 
 
+_fold_word = lru_cache(1 << 18)(fold)
+
+
 def roman(n: int) -> str:
     out = ""
     for v, r in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
@@ -123,7 +126,7 @@ class PageMarks:
 
     def is_number(self, w: str) -> bool:
         w = w.strip("-–—[]().|/ ").lower()
-        return bool(w) and (w in self.numbers or w.translate(_DIGITS) in self.numbers or w.isalpha() and fold(w) == self.roman)
+        return bool(w) and (w in self.numbers or w.translate(_DIGITS) in self.numbers or w.isalpha() and _fold_word(w) == self.roman)
 
     def split_number(self, s: str) -> tuple[str, bool]:
         """A line without the page number at its start or end."""
