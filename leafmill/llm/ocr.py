@@ -59,20 +59,28 @@ _INSIDE = re.compile(r"[;:,()\[\]{}\"/\\=<>]")
 _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _KNOWN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _DIGITS = str.maketrans("oOlI|i!sS$bBgqzZ", "0011111555689922")
+_AS_DIGITS = re.compile(r"[0-9oOlI|i!sS$bBgqzZ]+")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("e", "c"), ("t", "f"), ("ﬁ", "fi"), ("ﬂ", "fi"), ("h", "ii"), ("u", "ii"), ("d", "ci"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("n", "m"), ("fi", "ci"), ("mm", "m")]
 
 
-_FIRST = next(k for k, (a, _) in enumerate(_FOLDED) if len(a) > 1)  # before it single characters, all at once
-_SINGLE = str.maketrans(dict(_FOLDED[:_FIRST]))
+
+
+_ONE = [(a, b) for a, b in _FOLDED if len(a) == len(b) == 1 and a not in "n" and (a + b).isascii()]  # those before all others that yield one of them
+_TABLE = bytes.maketrans("".join(a for a, _ in _ONE).encode(), "".join(b for _, b in _ONE).encode())
+_REST = [x for x in _FOLDED if x not in _ONE]
 
 
 def fold(text: str) -> str:
     """A form that is the same for a text and its usual misreadings."""
-    t = "".join(text.lower().translate(_SINGLE).split())
-    for a, b in _FOLDED[_FIRST:]:
-        if a in t:
+    t = "".join(text.lower().split())
+    if t.isascii():
+        t = t.encode().translate(_TABLE).decode()
+    else:
+        for a, b in _ONE:
             t = t.replace(a, b)
+    for a, b in _REST:
+        t = t.replace(a, b)
     return t
 
 
@@ -126,7 +134,7 @@ class PageMarks:
 
     def is_number(self, w: str) -> bool:
         w = w.strip("-–—[]().|/ ").lower()
-        return bool(w) and (w in self.numbers or w.translate(_DIGITS) in self.numbers or w.isalpha() and _fold_word(w) == self.roman)
+        return bool(w) and (w in self.numbers or _AS_DIGITS.fullmatch(w) is not None and w.translate(_DIGITS) in self.numbers or w.isalpha() and _fold_word(w) == self.roman)
 
     def split_number(self, s: str) -> tuple[str, bool]:
         """A line without the page number at its start or end."""
