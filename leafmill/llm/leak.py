@@ -9,7 +9,7 @@ hits. Words are 64-bit hashes while sorting and searching; each hit is then chec
 The test set is a stated query set: it goes to all tasks in blocks of at most MAX_ITEM_CHARS characters.
 
 Cases: null or empty texts and items, and items under `min_words` words, have no match; a null item id or
-document id is kept as it is; repeated items or documents yield their rows once; items longer than a
+document id is kept as it is; a document longer than a shard is sorted and searched in several; repeated items or documents yield their rows once; items longer than a
 block make a block of their own; other columns are ignored.
 """
 
@@ -134,6 +134,25 @@ def shard_hits(hashes: np.ndarray, at: np.ndarray, item_words: np.ndarray, item_
     return list(zip(*(x.tolist() for x in (doc[first], item[first], in_doc[first], in_item[first], length))))
 
 
+def long_hits(hashes: np.ndarray, item_words: np.ndarray, item_at: np.ndarray, min_words: int, most: int) -> list[tuple[int, int, int, int, int]]:
+    """`shard_hits` of one document in shards of `most` words. Each window of `min_words` lies in exactly one of them; matches that go on in the next
+    shard are joined."""
+    found: list[list[int]] = []
+    ends: dict[tuple[int, int, int], int] = {}
+    for a in range(0, max(len(hashes) - min_words + 1, 1), most - min_words + 1):
+        part, later = hashes[a : a + most], {}
+        for _, i, p, q, n in shard_hits(part, np.array([0, len(part)]), item_words, item_at, min_words):
+            k = ends.get((i, a + p, q))
+            if k is None:
+                k = len(found)
+                found.append([0, i, a + p, q, n])
+            else:
+                found[k][4] += n - min_words + 1
+            later[i, a + p + n - min_words + 1, q + n - min_words + 1] = k
+        ends = later
+    return [tuple(x) for x in found]
+
+
 def _search(items: list[tuple[object, str]], min_words: int, id_type: pa.DataType, item_type: pa.DataType):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_words, item_at = word_hashes([t for _, t in items])
@@ -143,7 +162,9 @@ def _search(items: list[tuple[object, str]], min_words: int, id_type: pa.DataTyp
             for lo, hi in pieces(np.array([len(t) for t in texts], np.int64), SHARD):
                 hashes, at = word_hashes(texts[lo:hi])
                 out, now, said = [], -1, []
-                for d, i, p, q, n in shard_hits(hashes, at, item_words, item_at, min_words):
+                long_text = hi - lo == 1 and len(texts[lo]) > SHARD
+                hits = long_hits(hashes, item_words, item_at, min_words, max(SHARD // 4, 2 * min_words)) if long_text else shard_hits(hashes, at, item_words, item_at, min_words)
+                for d, i, p, q, n in hits:
                     if d != now:
                         now, said = d, words_of(texts[lo + d])
                     asked = of_item.setdefault(i, words_of(items[i][1]))

@@ -78,3 +78,18 @@ def test_words():
     assert np.diff(at).tolist() == [len(leak.words_of(t)) for t in texts] == [0, 4, 1, 0, 2]
     assert len(set(h.tolist())) == 7
     assert leak.words_of("ab½c x²") == ["ab", "c", "x"]
+
+
+def test_documents_longer_than_a_shard(spark, monkeypatch):
+    """The same matches, also those that reach over shards, from the first word to the last."""
+    rng = random.Random(8)
+    item = " ".join(f"w{rng.randint(0, 40)}" for _ in range(60))
+    words = item.split()
+    texts = [" ".join(words), " ".join(["x"] * 17 + words[5:50] + ["y"] * 3 + words[:30] + words[20:]), " ".join(words[:11]), "a b"]
+    docs, items = frames(spark, list(enumerate(texts)), [(7, item), (8, " ".join(words[10:40]))])
+    want = {tuple(r) for r in leak.leaks(docs, items).collect()}
+    hashes, _ = word_hashes([texts[1]])
+    asked, at = word_hashes([item])
+    for most in (24, 25, 40):
+        assert {x[2:] for x in leak.long_hits(hashes, asked, at, 12, most)} == {x[2:] for x in leak.shard_hits(hashes, np.array([0, len(hashes)]), asked, at, 12)}
+    assert {(1, 7, 17, 5, 45), (0, 7, 0, 0, 60)} <= want
