@@ -55,6 +55,7 @@ NUMBER_LINE = 24
 BREAKS = "-¬\xad‐"
 AROUND = " \t.,;:?()[]{}\"'“”‘’«»…—–/\\*•·<>="
 AFTER_SUSPENDED = {"and", "or", "to", "nor", "but", "et", "ou", "na", "au"}
+_BROKEN = re.compile(rf"[{BREAKS}][^\S\n]*(?:\n|\Z)")  # "-" comes first in BREAKS
 _INSIDE = re.compile(r"[;:,()\[\]{}\"/\\=<>]")
 _PLAIN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _KNOWN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
@@ -69,24 +70,46 @@ _FOLDED = [("0", "o"), ("1", "i"), ("!", "i"), ("|", "i"), ("l", "i"), ("@", "a"
 _ONE = [(a, b) for a, b in _FOLDED if len(a) == len(b) == 1 and a not in "n" and (a + b).isascii()]  # those before all others that yield one of them
 _TABLE = bytes.maketrans("".join(a for a, _ in _ONE).encode(), "".join(b for _, b in _ONE).encode())
 _REST = [x for x in _FOLDED if x not in _ONE]
+_REST_ASCII = [x for x in _REST if x[0].isascii()]
+_BLANKS = "".join(c for c in map(chr, range(128)) if c.isspace() and c != "\n").encode()
+_WIDE_BLANK = re.compile(r"[^\S\x00-\x7f]")
+_ROMAN_FOLDED = frozenset("mcixvwn")  # all letters of folded roman numbers
+
+
+def folded_lines(text: str) -> list[str]:
+    """`fold` of each line of a text, in one go: nothing is folded over the end of a line."""
+    t = text.lower()
+    if not t.isascii() and _WIDE_BLANK.search(t):
+        t = "\n".join("".join(x.split()) for x in t.split("\n"))
+    t = t.encode("utf-8", "surrogatepass").translate(_TABLE, _BLANKS).decode("utf-8", "surrogatepass")  # bytes of other letters stay
+    for a, b in _REST if not t.isascii() else _REST_ASCII:
+        t = t.replace(a, b)
+    return t.split("\n")
 
 
 def fold(text: str) -> str:
     """A form that is the same for a text and its usual misreadings."""
-    t = "".join(text.lower().split())
-    if t.isascii():
-        t = t.encode().translate(_TABLE).decode()
-    else:
-        for a, b in _ONE:
-            t = t.replace(a, b)
-    for a, b in _REST:
-        t = t.replace(a, b)
-    return t
+    return folded_lines(text.replace("\n", " "))[0]
 
 
 _fold_word = lru_cache(1 << 18)(fold)
 
 
+@lru_cache(1 << 18)
+def _number_forms(word: str) -> tuple[str, str, str]:
+    """A word that may be a page number, as it stands, as digits, and as a folded roman number; empty if it is none."""
+    w = word.strip("-–—[]().|/ ").lower()
+    digits, folded = w.translate(_DIGITS) if _AS_DIGITS.fullmatch(w) else "", _fold_word(w) if w.isalpha() else ""
+    if not digits and not (folded and _ROMAN_FOLDED.issuperset(folded)):
+        if len(_NO_NUMBER) > 500_000:
+            _NO_NUMBER.clear()
+        _NO_NUMBER.add(word)
+    return w, digits, folded
+
+
+_NO_NUMBER: set[str] = set()  # words met that are no page's number
+
+
 def roman(n: int) -> str:
     out = ""
     for v, r in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
@@ -113,6 +136,12 @@ def year_of(word: str) -> str | None:
     return None
 
 
+@lru_cache(1 << 14)
+def _page_forms(page: int) -> tuple[set[str], str]:
+    """A page number as it is written, and folded as a roman one."""
+    return {str(page), roman(page) or str(page)}, fold(roman(page))
+
+
 @lru_cache(maxsize=4096)
 def _title_forms(title: str) -> frozenset[str]:
     """Folded: a title, and all its runs of three and more words."""
@@ -125,16 +154,25 @@ class PageMarks:
 
     def __init__(self, title: str | None, page: int | None, repeated: frozenset[int] = frozenset(), lengths: tuple[int, int] = (0, 0)) -> None:
         self.page = page
-        self.numbers = set() if page is None else {str(page), roman(page) or str(page)}
-        self.roman = fold(roman(page)) if page is not None else ""
+        self.numbers, self.roman = (set(), "") if page is None else _page_forms(page)
         self.titles = _title_forms(title or "")
         self.repeated = repeated
         self.shortest, self.longest = lengths
         self.most_words = len(title.split()) + 2 if title else 0
 
     def is_number(self, w: str) -> bool:
-        w = w.strip("-–—[]().|/ ").lower()
-        return bool(w) and (w in self.numbers or _AS_DIGITS.fullmatch(w) is not None and w.translate(_DIGITS) in self.numbers or w.isalpha() and _fold_word(w) == self.roman)
+        plain, digits, folded = _number_forms(w)
+        return plain in self.numbers or digits in self.numbers or folded != "" and folded == self.roman
+
+    def forms(self, text: str) -> list[str]:
+        """`form` of each line of a text."""
+        out = folded_lines(text)
+        for k, s in enumerate(text.split("\n")):
+            if out[k]:
+                first, last = s.split(None, 1)[0], s.rsplit(None, 1)[-1]
+                if not (first in _NO_NUMBER and last in _NO_NUMBER) and (self.is_number(last) or self.is_number(first)):
+                    out[k] = self.form(s)
+        return out
 
     def split_number(self, s: str) -> tuple[str, bool]:
         """A line without the page number at its start or end."""
@@ -163,28 +201,32 @@ class PageMarks:
         """A line without the page number, folded."""
         return fold(self.split_number(s)[0])
 
-    def runs(self, s: str, n_words: int) -> bool:
-        """Whether a line of `n_words` words is a running header or footer, with or without the number. Only a line as long as one that repeats, or of
-        as few words as the title, needs to be looked at."""
-        if n_words > self.most_words and not (self.repeated and self.shortest <= len(s) <= self.longest):
-            return False
-        f = self.form(s)
-        return bool(f) and (f in self.titles or xxhash.xxh64_intdigest(f) - 2**63 in self.repeated)
+    def may_run(self, s: str, n_words: int) -> bool:
+        """Whether a line of `n_words` words needs to be looked at: only one as long as one that repeats, or of as few words as the title."""
+        return n_words <= self.most_words or bool(self.repeated) and self.shortest <= len(s) <= self.longest
+
+    def runs(self, form: str) -> bool:
+        """Whether a line of this form is a running header or footer, with or without the number."""
+        return bool(form) and (form in self.titles or bool(self.repeated) and xxhash.xxh64_intdigest(form) - 2**63 in self.repeated)
 
 
 def furniture(lines: list[str], words: list[list[str]], marks: PageMarks) -> list[bool]:
     """Which lines are page furniture."""
     n = len(lines)
     out = [False] * n
-    maybe = []
+    maybe, looked_at = [], []
     for k in range(n):
         if not words[k]:
             continue
         kind = marks.bare(lines[k])
-        if kind == "sure" or kind is None and marks.runs(lines[k], len(words[k])):
+        if kind is None and marks.may_run(lines[k], len(words[k])):
+            looked_at.append(k)
+        elif kind == "sure":
             out[k] = True
         elif kind == "maybe":
             maybe.append(k)
+    for k, form in zip(looked_at, marks.forms("\n".join(lines[k] for k in looked_at))):
+        out[k] = marks.runs(form)
     for k in maybe:
         before, after = lines[k - 1].strip() if k else "", lines[k + 1].strip() if k + 1 < n else ""
         above, below = k and (out[k - 1] or k - 1 in maybe), k + 1 < n and (out[k + 1] or k + 1 in maybe)
@@ -259,28 +301,40 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     has lines, divided by REPEAT_SHARE; and the length of the shortest and longest of these lines as they stand."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, int], list[int]] = {}
+        held: dict[str, dict[int, list[int]]] = {}  # by document and form: pages, shortest and longest line, and the last page counted
+        at = size = 0
 
         def flush() -> pd.DataFrame:
-            n, lo, hi = zip(*held.values()) if held else ((), (), ())
-            got = pd.DataFrame({"doc": pd.Series([d for d, _ in held], dtype=object), "form": pd.Series([f for _, f in held], dtype="int64"), "n": pd.Series(n, dtype="int64"), "lo": pd.Series(lo, dtype="int32"), "hi": pd.Series(hi, dtype="int32")})
+            n, lo, hi, _ = zip(*(x for forms in held.values() for x in forms.values())) if held else ((), (), (), ())
+            docs, forms = [d for d, forms in held.items() for _ in forms], [f for forms in held.values() for f in forms]
             held.clear()
-            return got
+            return pd.DataFrame({"doc": pd.Series(docs, dtype=object), "form": pd.Series(forms, dtype="int64"), "n": pd.Series(n, dtype="int64"), "lo": pd.Series(lo, dtype="int32"), "hi": pd.Series(hi, dtype="int32")})
 
         for b in batches:
-            for doc, page, text in zip(b["doc"], b["page"], b["text"]):
-                marks = PageMarks(None, None if pd.isna(page) else int(page))
-                seen: dict[str, list[int]] = {}
-                for line in text.split("\n"):
-                    f = marks.form(line)
+            for doc, page, text in zip(b["doc"].tolist(), b["page"].tolist(), b["text"].tolist()):
+                forms = PageMarks(None, None if pd.isna(page) else int(page)).forms(text)
+                mine = held.setdefault(doc, {})
+                size -= len(mine)
+                at += 1
+                for line, f in zip(text.split("\n"), forms):
                     if f:
-                        x = seen.setdefault(f, [len(line), len(line)])
-                        x[0], x[1] = min(x[0], len(line)), max(x[1], len(line))
-                for f, (lo, hi) in seen.items():
-                    x = held.setdefault((doc, xxhash.xxh64_intdigest(f) - 2**63), [0, lo, hi])
-                    x[0], x[1], x[2] = x[0] + 1, min(x[1], lo), max(x[2], hi)
-            if len(held) > 300_000:
+                        h, n = xxhash.xxh64_intdigest(f) - 2**63, len(line)
+                        x = mine.get(h)
+                        if x is None:
+                            mine[h] = [1, n, n, at]
+                            continue
+                        if x[3] != at:
+                            x[0], x[3] = x[0] + 1, at
+                        if n < x[1]:
+                            x[1] = n
+                        elif n > x[2]:
+                            x[2] = n
+                size += len(mine)
+                if not mine:
+                    del held[doc]
+            if size > 300_000:
                 yield flush()
+                size = 0
         yield flush()
 
     told = pages.where("doc IS NOT NULL AND text <> ''").select("doc", "page", "text")
@@ -507,6 +561,9 @@ def reflowed(text: str, title: str | None, page: int | None, repairs: dict[tuple
 
 def _running_words(text: str) -> Iterator[str]:
     """The tokens of a page that are whole words: not the halves at line breaks."""
+    if not _BROKEN.search(text):
+        yield from text.split()
+        return
     skip = False
     for line in text.split("\n"):
         ws = line.split()
